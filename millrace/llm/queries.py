@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, matroska, mixing, quality_classifier, quality_rules, sentencepiece_codec
+from . import chat_format, language_model, matroska, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,19 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_copies(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def piece_model_path() -> str:
     """The SentencePiece model file of the public tokenizers on this machine."""
     import public_tokenizers
@@ -54,7 +62,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_quality_classifier, op3_mixing, op5_quality_rules, op8_sentencepiece, op9_matroska, op10_chat_format)
+        for f in (op2_quality_classifier, op3_mixing, op4_lm_scoring, op5_quality_rules, op7_simhash, op8_sentencepiece, op9_matroska, op10_chat_format)
     }
 
 
