@@ -5,14 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, language_model, matroska, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash
+from . import chat_format, language_model, license_scan, matroska, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [
+    url_filter.UrlRule("allow", "org/"),
+    url_filter.UrlRule("block", "example.org/es/"),
+    url_filter.UrlRule("block", "example.org/en/1"),
+    url_filter.UrlRule("allow", "com/fr/"),
+    url_filter.UrlRule("block", "com/de/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled URLs: pages whose path names (as its first number) a document with a quality label."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("number"), F.col("quality").alias("label"))
+    shown = pages.select("url", F.expr("try_cast(regexp_extract(url, '://[^/?#]*[^?#]*?/([0-9]+)', 1) AS bigint)").alias("number"))
+    model = url_filter.fit(shown.where("number is not null").join(labels, "number").select("url", "label"))
+    return url_filter.judge(pages, URL_RULES, model)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -30,6 +49,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +85,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_quality_classifier, op3_mixing, op4_lm_scoring, op5_quality_rules, op7_simhash, op8_sentencepiece, op9_matroska, op10_chat_format)
+        for f in (
+            op1_url_filter, op2_quality_classifier, op3_mixing, op4_lm_scoring, op5_quality_rules,
+            op6_license_scan, op7_simhash, op8_sentencepiece, op9_matroska, op10_chat_format,
+        )
     }
 
 
@@ -83,4 +109,4 @@ ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | {"op6_license_scan": license_scan.scan_sql()}
