@@ -105,7 +105,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     for c in SYMBOLS:
         symbols = F.replace(symbols, F.lit(c), F.lit(""))
     marks = F.replace(F.replace(F.col(own["text"]), F.lit("!"), F.lit("")), F.lit("?"), F.lit(""))
-    out = out.withColumns(
+    counts = (
         {
             "n_words": long(n),
             "word_chars": long(F.char_length(F.concat_ws("", own["words"]))),
@@ -124,7 +124,9 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
             "n_plain": long(F.regexp_count(own["text"], F.lit(PLAIN))),
         }
     )
-    return out.drop(*own.values())
+    # A generator between the counts and what is made of them: a filter on verdicts is not pushed into the counting, where it
+    # would repeat it for each rule.
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), F.inline(F.array(F.struct(*(c.alias(name) for name, c in counts.items())))))
 
 
 def base_failed() -> Column:
