@@ -1,22 +1,24 @@
-"""The registered queries of the engine's own operators and their SQL."""
+"""The registered queries of the engine's own operators, each beside the SQL that it is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import circuit_queries, corpus_queries, outcome_queries, text_queries
+
+MODULES = (corpus_queries, outcome_queries, text_queries, circuit_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue by return flag and line status."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n_lines"))
+    """Corpus preparation end to end: length filter, first occurrences, hash split, counts by split."""
+    return corpus_queries.QUERIES["corpus_split_counts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
