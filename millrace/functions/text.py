@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where the body's lambdas use it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """White-space tokens."""
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
@@ -54,9 +61,11 @@ def assignment(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    return F.when(
-        F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
+    def joined(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(words, joined)
 
 
 def repetition(words: Column) -> Column:
@@ -65,8 +74,7 @@ def repetition(words: Column) -> Column:
 
 
 def truncate_words(text: Column, most: int) -> Column:
-    words = tokens(text)
-    return F.when(F.size(words) <= most, F.array_join(words, " ")).otherwise(F.concat(F.array_join(F.slice(words, 1, most), " "), F.lit(" ...")))
+    return let(tokens(text), lambda w: F.when(F.size(w) <= most, F.array_join(w, " ")).otherwise(F.concat(F.array_join(F.slice(w, 1, most), " "), F.lit(" ..."))))
 
 
 def sorted_lines(text: Column) -> Column:
@@ -75,11 +83,14 @@ def sorted_lines(text: Column) -> Column:
 
 def integer_ranges(numbers: Column) -> Column:
     """``1..3, 7`` for the array [1, 2, 3, 7]; distinct and sorted first."""
-    ordered = F.array_sort(F.array_distinct(numbers))
-    starts = F.filter(ordered, lambda x: ~F.array_contains(ordered, x - 1))
-    ends = F.filter(ordered, lambda x: ~F.array_contains(ordered, x + 1))
-    spans = F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit(".."), b.cast("string"))))
-    return F.array_join(spans, ", ")
+
+    def spans(ordered: Column) -> Column:
+        starts = F.filter(ordered, lambda x: ~F.array_contains(ordered, x - 1))
+        ends = F.filter(ordered, lambda x: ~F.array_contains(ordered, x + 1))
+        each = F.zip_with(starts, ends, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit(".."), b.cast("string"))))
+        return F.array_join(each, ", ")
+
+    return let(F.array_sort(F.array_distinct(numbers)), spans)
 
 
 def bus_width(declaration: Column) -> Column:

@@ -143,7 +143,7 @@ def top_configurations(spark, sf_dir):
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def metric_gaps(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = F.unix_micros("ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select(
         "event_id", "user_id", (us - F.lag(us).over(w)).alias("gap_us"), (F.col("value") - F.lag("value").over(w)).alias("change"), F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running")
     )
