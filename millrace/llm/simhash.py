@@ -32,27 +32,40 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np
 _OFFSETS = (256 * np.arange(8)).astype(np.int64)
 
 
-def fingerprint_of(text: bytes | None, shingle: int = 3) -> int:
-    """The unsigned fingerprint of a text."""
+def _spread(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Bytes (big-endian rows) of the k-th hash of each shingle: the XXH64 itself for k = 0, else a bijective mix of it."""
+    if not k:
+        return hashes.view(np.uint8).reshape(-1, 8)
+    x = hashes.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)
+
+
+def fingerprints_of(text: bytes | None, shingle: int = 3, prints: int = 1) -> list[int]:
+    """The unsigned fingerprints of a text: the first from XXH64, others from mixes of it."""
     words = text.lower().split() if text else []
     n = len(words)
     if not n:
-        return 0
+        return [0] * prints
     digest = xxhash.xxh64_digest
+    joined = b" ".join(words)
     if n < shingle:
-        hashes, counts = 1, np.unpackbits(np.frombuffer(digest(b" ".join(words), 42), np.uint8)).astype(np.int64)
+        first, last = [0], [len(joined)]
     else:
-        joined = b" ".join(words)
         starts = np.zeros(n + 1, np.int64)
         np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=starts[1:])
-        hashes = n - shingle + 1
-        first, last = starts[:hashes].tolist(), (starts[shingle:] - 1).tolist()
-        table = np.zeros(2048, np.int64)
-        for k in range(0, hashes, BLOCK):
-            part = b"".join([digest(joined[a:b], 42) for a, b in zip(first[k : k + BLOCK], last[k : k + BLOCK])])
-            table += np.bincount((np.frombuffer(part, np.uint8).reshape(-1, 8) + _OFFSETS).ravel(), minlength=2048)
-        counts = (table.reshape(8, 256) @ _BITS).ravel()
-    return int.from_bytes(np.packbits(2 * counts > hashes).tobytes(), "big")
+        first, last = starts[: n - shingle + 1].tolist(), (starts[shingle:] - 1).tolist()
+    tables = np.zeros((prints, 2048), np.int64)
+    for at in range(0, len(first), BLOCK):
+        part = b"".join([digest(joined[a:b], 42) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK])])
+        hashes = np.frombuffer(part, ">u8")
+        for k in range(prints):
+            tables[k] += np.bincount((_spread(hashes, k) + _OFFSETS).ravel(), minlength=2048)
+    counts = (tables.reshape(prints, 8, 256) @ _BITS).reshape(prints, 64)
+    return [int.from_bytes(row.tobytes(), "big") for row in np.packbits(2 * counts > len(first), axis=1)]
 
 
 def fingerprint(text: str | Column, shingle: int = 3) -> Column:
@@ -60,11 +73,22 @@ def fingerprint(text: str | Column, shingle: int = 3) -> Column:
 
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint_of(t, shingle) for t in text_bytes(texts)], np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprints_of(t, shingle)[0] for t in text_bytes(texts)], np.uint64).view(np.int64))
 
     return prints(text)
 
 
+def fingerprints(text: str | Column, shingle: int, prints: int) -> Column:
+    """Arrays of ``prints`` fingerprints as signed longs."""
+
+    @F.arrow_udf("array<long>")
+    def every(texts: pa.Array) -> pa.Array:
+        flat = np.array([p for t in text_bytes(texts) for p in fingerprints_of(t, shingle, prints)], np.uint64).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, prints, dtype=np.int32)), pa.array(flat))
+
+    return every(text)
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -130,15 +154,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2) -> DataFrame:
+def _text_classes(printed: DataFrame, prints: int, radius: int) -> DataFrame:
+    """(t, first): for each text hash of ``printed`` (id, t, fps) the first row (none, id, t) of its component.  Two texts
+    link if any of their fingerprints lie within ``radius`` bits; each kind of fingerprint has its own index."""
+    texts = stage_table(printed.groupBy("t").agg(F.min(_first("id", "t")).alias("first"), F.first("fps").alias("fps")), "texts")
+    edges = None
+    for k in range(prints):
+        own = texts.select("t", F.col("fps")[k].alias("fp"))
+        nodes = stage_table(own.groupBy("fp").agg(F.min("t").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
+        found = links(nodes.select("fp"), radius)
+        ends = [nodes.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}")) for x in "uv"]
+        across = ends[1].join(broadcast_if_small(ends[0].join(broadcast_if_small(found), "u")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+        shared = own.join(broadcast_if_small(nodes.where("n > 1")), "fp").where("t <> rep").select(F.col("rep").alias("u"), F.col("t").alias("v"))
+        both = across.union(shared)
+        edges = both if edges is None else edges.union(both)
+    roots = stage_table(components(edges), "roots")
+    linked = texts.select("t", "first").join(broadcast_if_small(roots), F.col("t") == F.col("node"), "left")
+    best = stage_table(linked.where("node is not null").groupBy("root").agg(F.min("first").alias("best")), "best")
+    return linked.join(broadcast_if_small(best), "root", "left").select("t", F.coalesce("best", "first").alias("first"))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, prints: int = 3) -> DataFrame:
     """One row of each component of ``docs``, with its columns: the one of least id, then of least text hash.
 
-    The rows to drop are named by (id, text hash).  Few of them are broadcast, so that texts don't move; beyond
-    the bound the join shuffles.  Rows repeated in id and text are reduced to one.
+    Texts link if any of ``prints`` independent fingerprints lie within ``radius`` bits: at a shingle similarity of 0.98 one
+    fingerprint finds under half of the pairs, three find over four fifths.  The rows to drop are named by (id, text hash).
+    Few of them are broadcast, so that texts don't move; beyond the bound the join shuffles.  Rows repeated in id and text are
+    reduced to one.
     """
     text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    printed = stage_table(docs.select(F.col(f"`{id_col}`").alias("id"), text_hash.alias("t"), fingerprint(F.col(f"`{text_col}`"), shingle).alias("fp")), "prints")
-    classed = printed.join(_classes(printed, radius), "fp")
+    printed = stage_table(docs.select(F.col(f"`{id_col}`").alias("id"), text_hash.alias("t"), fingerprints(F.col(f"`{text_col}`"), shingle, prints).alias("fps")), "prints")
+    classed = printed.select("id", "t").join(_text_classes(printed, prints, radius), "t")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
     ruled = stage_table(
         classed.groupBy("id", "t").agg(F.count(F.lit(1)).alias("n"), F.max(kept).alias("kept")).where("n > 1 or not kept").withColumnsRenamed({"id": "__id", "t": "__t"}),

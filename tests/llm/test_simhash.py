@@ -45,6 +45,14 @@ def test_near_duplicates_match_brute_force(spark):
     assert collections.Counter(tuple(r) for r in got) == want
 
 
+def test_fingerprints_are_independent():
+    text = " ".join(fixtures.sentence(random.Random(1), 300).split()).encode()
+    prints = simhash.fingerprints_of(text, 5, 3)
+    assert prints[0] == brute_print(text.decode(), 5) == simhash.fingerprints_of(text, 5)[0]
+    assert all(20 < (prints[a] ^ prints[b]).bit_count() < 44 for a in range(3) for b in range(a))
+    assert simhash.fingerprints_of(b"", 5, 3) == [0, 0, 0]
+
+
 def as_long(x):
     return x - (1 << 64) if x >> 63 else x
 
@@ -78,7 +86,14 @@ def test_keep_first(spark):
     assert kept.columns == docs.columns
     rows = kept.collect()
     data = fixtures.rows()
-    groups = brute_components([brute_print(r[1], 5) for r in data])
+    texts = [(r[1] or "").encode() for r in data]
+    many = [simhash.fingerprints_of(t, 5, 3) for t in texts]
+    parent = list(range(len(data)))
+    for k in range(3):  # join the components of each kind of fingerprint
+        for i, g in enumerate(brute_components([m[k] for m in many])):
+            a, b = parent[i], parent[g]
+            parent = [b if x == a else x for x in parent]
+    groups = parent
     assert len(rows) == len(set(groups))
     least = {}
     for r, g in zip(data, groups):
