@@ -139,13 +139,14 @@ def top_configurations(spark, sf_dir):
     return ranking.top_k(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_totalprice", 10, "o_custkey", ["o_orderkey"])
 
 
-@query("""SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap_us, value - lag(value) OVER w AS change, round(avg(value) OVER (w ROWS UNBOUNDED PRECEDING), 4) AS running
+@query("""SELECT event_id, user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap_us, value - lag(value) OVER w AS change, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS running_total, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS running_n
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def metric_gaps(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select(
-        "event_id", "user_id", (us - F.lag(us).over(w)).alias("gap_us"), (F.col("value") - F.lag("value").over(w)).alias("change"), F.round(F.avg("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running")
+        "event_id", "user_id", (us - F.lag(us).over(w)).alias("gap_us"), (F.col("value") - F.lag("value").over(w)).alias("change"), F.round(F.sum("value").over(so_far), 2).alias("running_total"), F.count("*").over(so_far).alias("running_n")
     )
 
 
