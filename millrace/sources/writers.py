@@ -33,7 +33,7 @@ def report(df: DataFrame, path: str, order: list) -> None:
 
 def union_of_columns(parts: list[DataFrame]) -> DataFrame:
     """All rows under the union of the columns, missing ones null."""
-    out = parts[0]
+    out = parts[0].select("*")
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
