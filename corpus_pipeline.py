@@ -23,7 +23,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: any of three fingerprints of five-word shingles within two bits."""
+    """One document of each group of near copies: sets of five-word shingles that have four fifths or more in common."""
     return simhash.keep_first(docs)
 
 

@@ -11,6 +11,9 @@ one-bit neighbours, where two meet exactly if they differ by two bits or fewer a
 meeting links its members to its least one.  So no link within the radius is lost and the work stays proportional to the rows.
 Components over links come from star rounds (see components.py).
 
+``keep_first`` links texts by the similarity of their sets of distinct shingles: fingerprints and MinHash bands name
+candidates, the sets decide on those of the bands.
+
 Null texts count as empty; texts without words have fingerprint zero and link like any other; shorter texts than a shingle
 are one shingle.  Long texts are hashed whole, in blocks.  Repeated rows each get a result.  A null id never is the
 component's id unless the component has no other.  Only the id and text columns are read.
@@ -18,6 +21,8 @@ component's id unless the component has no other.  Only the id and text columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,6 +33,9 @@ from .common import broadcast_if_small, own_columns, stage_table, text_bytes
 from .components import components
 
 BLOCK = 50_000
+#: MinHash bands of keep_first: at shingle similarity 0.8, 1 - (1 - 0.8^5)^20 = 0.9996 of the pairs share one.
+BANDS, BAND_ROWS = 20, 5
+_SLOTS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _OFFSETS = (256 * np.arange(8)).astype(np.int64)
 
@@ -44,12 +52,12 @@ def _spread(hashes: np.ndarray, k: int) -> np.ndarray:
     return x.astype(">u8").view(np.uint8).reshape(-1, 8)
 
 
-def fingerprints_of(text: bytes | None, shingle: int = 3, prints: int = 1) -> list[int]:
-    """The unsigned fingerprints of a text: the first from XXH64, others from mixes of it."""
+def _shingle_hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42, big-endian) of a text's word shingles, repeats included, in blocks; none of a text without words."""
     words = text.lower().split() if text else []
     n = len(words)
     if not n:
-        return [0] * prints
+        return
     digest = xxhash.xxh64_digest
     joined = b" ".join(words)
     if n < shingle:
@@ -58,14 +66,45 @@ def fingerprints_of(text: bytes | None, shingle: int = 3, prints: int = 1) -> li
         starts = np.zeros(n + 1, np.int64)
         np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=starts[1:])
         first, last = starts[: n - shingle + 1].tolist(), (starts[shingle:] - 1).tolist()
-    tables = np.zeros((prints, 2048), np.int64)
     for at in range(0, len(first), BLOCK):
         part = b"".join([digest(joined[a:b], 42) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK])])
-        hashes = np.frombuffer(part, ">u8")
+        yield np.frombuffer(part, ">u8")
+
+
+def _prints(blocks: list[np.ndarray], prints: int) -> list[int]:
+    if not blocks:
+        return [0] * prints
+    tables = np.zeros((prints, 2048), np.int64)
+    for hashes in blocks:
         for k in range(prints):
             tables[k] += np.bincount((_spread(hashes, k) + _OFFSETS).ravel(), minlength=2048)
     counts = (tables.reshape(prints, 8, 256) @ _BITS).reshape(prints, 64)
-    return [int.from_bytes(row.tobytes(), "big") for row in np.packbits(2 * counts > len(first), axis=1)]
+    return [int.from_bytes(row.tobytes(), "big") for row in np.packbits(2 * counts > sum(map(len, blocks)), axis=1)]
+
+
+def fingerprints_of(text: bytes | None, shingle: int = 3, prints: int = 1) -> list[int]:
+    """The unsigned fingerprints of a text: the first from XXH64, others from mixes of it."""
+    return _prints(list(_shingle_hashes(text, shingle)), prints)
+
+
+def _distinct(blocks: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(blocks).astype(np.uint64)) if blocks else np.zeros(0, np.uint64)
+
+
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """The distinct shingle hashes of a text, rising."""
+    return _distinct(list(_shingle_hashes(text, shingle)))
+
+
+def band_keys(distinct: np.ndarray) -> list[int]:
+    """One key a band from the least of each slot's products with the distinct shingle hashes; none of an empty set."""
+    if not len(distinct):
+        return []
+    least = np.full(len(_SLOTS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), 2048):
+        with np.errstate(over="ignore"):
+            np.minimum(least, (distinct[at : at + 2048] * _SLOTS).min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
 
 
 def fingerprint(text: str | Column, shingle: int = 3) -> Column:
@@ -78,17 +117,32 @@ def fingerprint(text: str | Column, shingle: int = 3) -> Column:
     return prints(text)
 
 
-def fingerprints(text: str | Column, shingle: int, prints: int) -> Column:
-    """Arrays of ``prints`` fingerprints as signed longs."""
+def signatures(text: str | Column, shingle: int, prints: int) -> Column:
+    """struct(s, fps, keys): hash of the distinct shingles, ``prints`` fingerprints, band keys, all as signed longs."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("struct<s: bigint, fps: array<bigint>, keys: array<bigint>>")
     def every(texts: pa.Array) -> pa.Array:
-        flat = np.array([p for t in text_bytes(texts) for p in fingerprints_of(t, shingle, prints)], np.uint64).view(np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, prints, dtype=np.int32)), pa.array(flat))
+        sets, fps, keys = [], [], []
+        for t in text_bytes(texts):
+            blocks = list(_shingle_hashes(t, shingle))
+            distinct = _distinct(blocks)
+            sets.append(xxhash.xxh64_intdigest(distinct.tobytes()))
+            fps.append(np.array(_prints(blocks, prints), np.uint64).view(np.int64))
+            keys.append(np.array(band_keys(distinct), np.uint64).view(np.int64))
+        lists = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(fps, lists), pa.array(keys, lists)], ["s", "fps", "keys"])
 
     return every(text)
 
 
+def shingle_sets(text: str | Column, shingle: int) -> Column:
+    @F.arrow_udf("array<bigint>")
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, shingle).view(np.int64) for t in text_bytes(texts)], pa.list_(pa.int64()))
+
+    return sets(text)
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -154,37 +208,98 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def _text_classes(printed: DataFrame, prints: int, radius: int) -> DataFrame:
-    """(t, first): for each text hash of ``printed`` (id, t, fps) the first row (none, id, t) of its component.  Two texts
-    link if any of their fingerprints lie within ``radius`` bits; each kind of fingerprint has its own index."""
-    texts = stage_table(printed.groupBy("t").agg(F.min(_first("id", "t")).alias("first"), F.first("fps").alias("fps")), "texts")
+def _print_links(nodes: DataFrame, prints: int, radius: int) -> DataFrame:
+    """Links (u, v) between the sets s of ``nodes`` (s, fps) of which a fingerprint lies within ``radius`` bits; each kind of
+    fingerprint has its own index."""
     edges = None
     for k in range(prints):
-        own = texts.select("t", F.col("fps")[k].alias("fp"))
-        nodes = stage_table(own.groupBy("fp").agg(F.min("t").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
-        found = links(nodes.select("fp"), radius)
-        ends = [nodes.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}")) for x in "uv"]
+        own = nodes.select("s", F.col("fps")[k].alias("fp"))
+        printed = stage_table(own.groupBy("fp").agg(F.min("s").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
+        found = links(printed.select("fp"), radius)
+        ends = [printed.select(F.col("fp").alias(x), F.col("rep").alias(f"r{x}")) for x in "uv"]
         across = ends[1].join(broadcast_if_small(ends[0].join(broadcast_if_small(found), "u")), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-        shared = own.join(broadcast_if_small(nodes.where("n > 1")), "fp").where("t <> rep").select(F.col("rep").alias("u"), F.col("t").alias("v"))
+        shared = own.join(broadcast_if_small(printed.where("n > 1")), "fp").where("s <> rep").select(F.col("rep").alias("u"), F.col("s").alias("v"))
         both = across.union(shared)
         edges = both if edges is None else edges.union(both)
-    roots = stage_table(components(edges), "roots")
-    linked = texts.select("t", "first").join(broadcast_if_small(roots), F.col("t") == F.col("node"), "left")
+    return stage_table(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "print_links")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets (s, items) have at least ``similarity`` of their union in common."""
+    x, y = (sets.select(F.col("s").alias(s), F.col("items").alias(items)) for s, items in ("ux", "vy"))
+    m, n = F.size("x"), F.size("y")
+    close = F.least(m, n) >= F.ceil(similarity * F.greatest(m, n) - 1e-6)
+    enough = F.size(F.array_intersect("x", "y")) >= F.ceil((m + n) * (similarity / (1 + similarity)) - 1e-6)
+    return stage_table(pairs.join(x, "u").join(y, "v").where(close).where(enough).select("u", "v"), "similar")
+
+
+def _band_links(members: DataFrame, sets: DataFrame, similarity: float, most_joined: int = 32) -> DataFrame:
+    """Verified links between the ``members`` (key, s, n) of shared band keys: all pairs in buckets of up to ``most_joined``.
+
+    In larger buckets leaders are verified against all members, until each member has been one or is linked to one; a
+    bucket of near copies takes one round.  Only two members that are each linked to another leader are not compared there.
+    """
+    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    left, right = (members.where(F.col("n") <= most_joined).select("key", F.col("s").alias(x)) for x in "uv")
+    found = _similar(left.join(right, "key").where("u < v").select("u", "v").distinct(), sets, similarity)
+    hot = members.where(F.col("n") > most_joined).select("key", "s")
+    if hot.isEmpty():
+        return found
+    hot = waiting = stage_table(hot, "hot")
+    leaders = 1
+    while not waiting.isEmpty():
+        # so many leaders a bucket, each the least of a share of those that wait; an aggregate that combines before the shuffle
+        share = F.pmod(F.xxhash64("s", "key"), F.lit(leaders)).alias("share")
+        led = stage_table(waiting.groupBy("key", share).agg(F.min_by("s", F.xxhash64("key", "s")).alias("u")).select("key", "u"), "leaders")
+        tried = hot.join(broadcast_if_small(led), "key").select("key", "u", F.col("s").alias("v"))
+        close = _similar(ordered(tried), sets, similarity)
+        found = found.union(close)
+        either = close.union(close.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        met = tried.join(either, ["u", "v"], "left_semi").select("key", F.col("v").alias("s")).union(led.select("key", F.col("u").alias("s"))).distinct()
+        waiting = stage_table(waiting.join(met, ["key", "s"], "left_anti"), "waiting")
+        leaders *= 4
+    return found
+
+
+def _set_classes(docs: DataFrame, printed: DataFrame, id_col: str, text_col: str, shingle: int, prints: int, radius: int, similarity: float) -> DataFrame:
+    """(s, first): for each shingle set of ``printed`` (id, t, s, fps, keys) the first row (none, id, t) of its component."""
+    nodes = stage_table(printed.groupBy("s").agg(F.min(_first("id", "t")).alias("first"), F.min("fps").alias("fps"), F.min("keys").alias("keys")), "sets")
+    near = _print_links(nodes, prints, radius)
+    keys = nodes.select(F.explode("keys").alias("key"), "s")
+    shared = stage_table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = stage_table(keys.join(broadcast_if_small(shared), "key"), "members")
+    # the texts of candidates, one a set, are read once more for their shingles
+    ends = members.select("s").union(near.select("u")).union(near.select("v")).distinct()
+    wanted = stage_table(nodes.join(ends, "s").select("s", F.col("first.id").alias("__id"), F.col("first.t").alias("__t")), "wanted")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _text_hash(text_col).alias("t"))
+    texts = texts.join(broadcast_if_small(wanted), texts["id"].eqNullSafe(wanted["__id"]) & (texts["t"] == wanted["__t"]))
+    sets = stage_table(texts.select("s", shingle_sets("text", shingle).alias("items")), "shingles")
+    found = near.union(_band_links(members, sets, similarity))
+    roots = stage_table(components(found), "roots")
+    linked = nodes.select("s", "first").join(broadcast_if_small(roots), F.col("s") == F.col("node"), "left")
     best = stage_table(linked.where("node is not null").groupBy("root").agg(F.min("first").alias("best")), "best")
-    return linked.join(broadcast_if_small(best), "root", "left").select("t", F.coalesce("best", "first").alias("first"))
+    return linked.join(broadcast_if_small(best), "root", "left").select("s", F.coalesce("best", "first").alias("first"))
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, prints: int = 3) -> DataFrame:
+def keep_first(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 2, prints: int = 1, similarity: float = 0.8
+) -> DataFrame:
     """One row of each component of ``docs``, with its columns: the one of least id, then of least text hash.
 
-    Texts link if any of ``prints`` independent fingerprints lie within ``radius`` bits: at a shingle similarity of 0.98 one
-    fingerprint finds under half of the pairs, three find over four fifths.  The rows to drop are named by (id, text hash).
-    Few of them are broadcast, so that texts don't move; beyond the bound the join shuffles.  Rows repeated in id and text are
-    reduced to one.
+    Texts link if their sets of distinct shingles have at least ``similarity`` in common.  Candidates are texts of which one of
+    ``prints`` fingerprints lies within ``radius`` bits, and texts that share one of BANDS MinHash bands of the set, which
+    finds nearly every pair of that similarity and is verified on the sets.
+    The rows to drop are named by (id, text hash).  Few of them are broadcast, so that texts don't move; beyond the bound
+    the join shuffles.  Rows repeated in id and text are reduced to one.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    printed = stage_table(docs.select(F.col(f"`{id_col}`").alias("id"), text_hash.alias("t"), fingerprints(F.col(f"`{text_col}`"), shingle, prints).alias("fps")), "prints")
-    classed = printed.select("id", "t").join(_text_classes(printed, prints, radius), "t")
+    text_hash = _text_hash(text_col)
+    printed = docs.select(F.col(f"`{id_col}`").alias("id"), text_hash.alias("t"), signatures(F.col(f"`{text_col}`"), shingle, prints).alias("x"))
+    printed = stage_table(printed.select("id", "t", "x.*"), "prints")
+    classed = printed.select("id", "t", "s").join(_set_classes(docs, printed, id_col, text_col, shingle, prints, radius, similarity), "s")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
     ruled = stage_table(
         classed.groupBy("id", "t").agg(F.count(F.lit(1)).alias("n"), F.max(kept).alias("kept")).where("n > 1 or not kept").withColumnsRenamed({"id": "__id", "t": "__t"}),

@@ -113,3 +113,37 @@ def test_empty(spark):
     empty = fixtures.frame(spark, [])
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_first(empty).columns == empty.columns and simhash.keep_first(empty).count() == 0
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for i in rng.sample(range(len(words)), edits):
+        words[i] = f"x{rng.getrandbits(40)}"
+    return " ".join(words)
+
+
+def test_keep_first_finds_pairs_of_similarity_above_four_fifths(spark):
+    rng = random.Random(3)
+    data, similar = [], set()
+    for k in range(60):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(400)]
+        other = edited(rng, words, 2 + k % 12)
+        data += [(2 * k, " ".join(words)), (2 * k + 1, other)]
+        if jaccard(data[-2][1], other) >= 0.8:
+            similar.add(2 * k + 1)
+    assert 20 < len(similar) < 60
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert set(range(120)) - kept == similar
+
+
+def test_keep_first_links_large_groups(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.getrandbits(40)}" for _ in range(400)]
+    data = [(i, edited(rng, words, 1)) for i in range(150)]
+    kept = simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in kept] == [0]
