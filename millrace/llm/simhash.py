@@ -12,7 +12,7 @@ meeting links its members to its least one.  So no link within the radius is los
 Components over links come from star rounds (see components.py).
 
 ``keep_first`` links texts by the similarity of their sets of distinct shingles: fingerprints and MinHash bands name
-candidates, the sets decide on those of the bands.
+candidates, the sets decide.
 
 Null texts count as empty; texts without words have fingerprint zero and link like any other; shorter texts than a shingle
 are one shingle.  Long texts are hashed whole, in blocks.  Repeated rows each get a result.  A null id never is the
@@ -274,7 +274,7 @@ def _set_classes(docs: DataFrame, printed: DataFrame, id_col: str, text_col: str
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _text_hash(text_col).alias("t"))
     texts = texts.join(broadcast_if_small(wanted), texts["id"].eqNullSafe(wanted["__id"]) & (texts["t"] == wanted["__t"]))
     sets = stage_table(texts.select("s", shingle_sets("text", shingle).alias("items")), "shingles")
-    found = near.union(_band_links(members, sets, similarity))
+    found = _similar(near, sets, similarity).union(_band_links(members, sets, similarity))
     roots = stage_table(components(found), "roots")
     linked = nodes.select("s", "first").join(broadcast_if_small(roots), F.col("s") == F.col("node"), "left")
     best = stage_table(linked.where("node is not null").groupBy("root").agg(F.min("first").alias("best")), "best")
@@ -292,7 +292,7 @@ def keep_first(
 
     Texts link if their sets of distinct shingles have at least ``similarity`` in common.  Candidates are texts of which one of
     ``prints`` fingerprints lies within ``radius`` bits, and texts that share one of BANDS MinHash bands of the set, which
-    finds nearly every pair of that similarity and is verified on the sets.
+    finds nearly every pair of that similarity; each candidate is verified on the sets.
     The rows to drop are named by (id, text hash).  Few of them are broadcast, so that texts don't move; beyond the bound
     the join shuffles.  Rows repeated in id and text are reduced to one.
     """

@@ -147,3 +147,14 @@ def test_keep_first_links_large_groups(spark):
     data = [(i, edited(rng, words, 1)) for i in range(150)]
     kept = simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert [r["doc_id"] for r in kept] == [0]
+
+
+def test_keep_first_keeps_different_texts_with_common_lines(spark):
+    line = " ".join(f"common{i}" for i in range(15))
+    data = []
+    for k in range(12):
+        rng = random.Random(k)
+        data.append((k, "\n".join([line] * 100 + [" ".join(f"w{rng.getrandbits(40)}" for _ in range(3500))])))
+    assert jaccard(data[0][1], data[1][1]) < 0.01
+    kept = simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(kept) == 12
