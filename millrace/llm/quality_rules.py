@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import own_columns, stage_table
 
 WINDOW = 8
+STRETCH = 200
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: The end of a word whose last character, or last but one before a stop, is a letter.
 PLAIN = "\\p{L}[.,;:]?(?=[\\x20\\x09-\\x0D]|\\z)"
@@ -55,7 +56,7 @@ RULES = (
     Rule("marks", "n_marks / nullif(n_words, 0)", (0, 0.03), (0, 0.3)),
     Rule("duplicate_lines", "n_dup_lines / nullif(n_lines, 0)", (0, 0.02), (0, 0.3)),
     Rule("repeated_words", "n_repeat_words / nullif(n_words, 0)", (0, 0.01), (0, 0.3)),
-    Rule("distinct_words", "n_distinct_words / nullif(least(n_words, 200), 0)", (0.45, INF), (0.25, INF)),
+    Rule("distinct_words", "n_distinct_words / nullif(n_words, 0)", (0.45, INF), (0.25, INF)),
     Rule("plain_words", "n_plain / nullif(n_words, 0)", (0.85, INF), (0.7, INF)),
     Rule("capitals", "n_upper / nullif(n_chars, 0)", (0, 0.08), (0, 0.3)),
 )
@@ -66,8 +67,8 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
     n_words: words ``[^\\x20\\x09-\\x0D]+``; word_chars: code points in words; n_symbols: characters of ``#*$%&|<>``;
     n_dup_lines: lines (split at \\n) with a word that equal an earlier line; n_repeat_words: words inside 8-word
-    windows that occur twice or more in the text; n_lines: lines with a word; n_marks: ``!`` and ``?``; n_plain: words
-    that end in a letter, or a letter and a stop.
+    windows that occur twice or more in the text; n_lines: lines with a word; n_distinct_words: distinct words of each stretch of
+    200 words, added up over the text; n_marks: ``!`` and ``?``; n_plain: words that end in a letter, or a letter and a stop.
     Windows are compared by 64-bit hashes of their words' 64-bit hashes.
     """
     own = {name: f"__{name}" for name in ("text", "words", "hashes", "lines", "windows", "spots")}
@@ -117,7 +118,9 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
                     least({WINDOW}, {own['spots']}[k + 1] - p))), 0, (a, x) -> a + x)""")
             ).cast("long"),
             "n_lines": long(F.size(own["lines"])),
-            "n_distinct_words": long(F.size(F.array_distinct(F.slice(own["hashes"], 1, 200)))),
+            "n_distinct_words": F.expr(f"""
+                aggregate(sequence(0, (size({own['hashes']}) - 1) div {STRETCH}), 0, (a, i) ->
+                    a + size(array_distinct(slice({own['hashes']}, int(i) * {STRETCH} + 1, {STRETCH}))))""").cast("long"),
             "n_upper": long(F.regexp_count(own["text"], F.lit("\\p{Lu}"))),
             "n_chars": long(F.char_length(own["text"])),
             "n_marks": long(F.char_length(own["text"]) - F.char_length(marks)),

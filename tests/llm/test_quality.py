@@ -104,3 +104,20 @@ def test_classifier_odd_cases(spark):
     assert {r["score"] for r in quality_classifier.score(docs, none).collect()} == {0.5}
     assert quality_classifier.score(fixtures.frame(spark, []), fixtures.labels(spark)).count() == 0
     assert quality_classifier.keep_predicted(docs, none).columns == docs.columns
+
+
+def with_salad(rng, n, varied_first):
+    """``n`` words: 200 that differ before a salad of seven words, or 200 words of the salad before others that differ."""
+    varied = ["".join(rng.choices("abcdefgh", k=8)) for _ in range(200 if varied_first else n - 200)]
+    salad = rng.choices(["ever", "over", "river", "stone", "green", "north", "cloud"], k=n - len(varied))
+    return " ".join(varied + salad if varied_first else salad + varied)
+
+
+def test_distinct_words_are_counted_over_the_whole_text(spark):
+    rng = random.Random(6)
+    data = [(0, with_salad(rng, 4000, True)), (1, with_salad(rng, 4000, False)), (2, "a b a"), (3, ""), (4, "x " * 200 + "y")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, text in data:
+        words = text.split()
+        assert got[i]["n_distinct_words"] == sum(len(set(words[k : k + 200])) for k in range(0, len(words), 200))
+    assert got[0]["distinct_words"] == -1 and got[1]["distinct_words"] == 1
