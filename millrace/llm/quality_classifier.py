@@ -50,14 +50,14 @@ def text_statistics(text: bytes | None) -> np.ndarray:
     lower = int(counts[97:123].sum())
     upper = int(counts[65:91].sum())
     w = max(1, n)
-    head = words[:200]
+    fresh = sum(len(set(words[at : at + 200])) for at in range(0, n, 200))  # of each stretch of 200 words
     long = max(map(len, words), default=0)
     out[:] = (
         np.log1p(n),
         np.log1p(len(text) / w),
         np.log1p(long),
         distinct / w,
-        len(set(head)) / max(1, len(head)),
+        fresh / w,
         sum(map(eq, words, islice(words, 1, None))) / w,
         (len(lines) - len(set(lines))) / len(lines),
         np.log1p(n / len(lines)),

@@ -121,3 +121,10 @@ def test_distinct_words_are_counted_over_the_whole_text(spark):
         words = text.split()
         assert got[i]["n_distinct_words"] == sum(len(set(words[k : k + 200])) for k in range(0, len(words), 200))
     assert got[0]["distinct_words"] == -1 and got[1]["distinct_words"] == 1
+
+
+def test_classifier_statistics_see_the_whole_text():
+    rng = random.Random(8)
+    words, salad = [f"w{rng.getrandbits(40)}" for _ in range(200)], ["a", "b"] * 2000
+    front, back = (quality_classifier.text_statistics(" ".join(x).encode()) for x in (words + salad, salad + words))
+    assert front[4] == back[4] == (200 + 20 * 2) / 4200
