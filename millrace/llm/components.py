@@ -41,5 +41,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         drop_table(stage)
         drop_table(now)
         now = following
+    else:
+        raise RuntimeError(f"components are not found after {most_rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

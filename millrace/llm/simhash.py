@@ -12,7 +12,8 @@ meeting links its members to its least one.  So no link within the radius is los
 Components over links come from star rounds (see components.py).
 
 ``keep_first`` links texts by the similarity of their sets of distinct shingles: fingerprints and MinHash bands name
-candidates, the sets decide.
+candidates, the sets decide.  A set's parity sketch (bit b: how many of its hashes fall on b, modulo two) bounds the
+difference of two sets from below, so that pairs which cannot link are left before their sets meet.
 
 Null texts count as empty; texts without words have fingerprint zero and link like any other; shorter texts than a shingle
 are one shingle.  Long texts are hashed whole, in blocks.  Repeated rows each get a result.  A null id never is the
@@ -35,6 +36,8 @@ from .components import components
 BLOCK = 50_000
 #: MinHash bands of keep_first: at shingle similarity 0.8, 1 - (1 - 0.8^5)^20 = 0.9996 of the pairs share one.
 BANDS, BAND_ROWS = 20, 5
+#: Bits of a parity sketch; sets of up to about twice as many shingles are told apart by it.
+PARITY_BITS = 1024
 _SLOTS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _OFFSETS = (256 * np.arange(8)).astype(np.int64)
@@ -135,10 +138,21 @@ def signatures(text: str | Column, shingle: int, prints: int) -> Column:
     return every(text)
 
 
+def parity(distinct: np.ndarray) -> np.ndarray:
+    """Bit b: whether an odd number of the hashes fall on b.  Two sketches differ in no more bits than their sets in members."""
+    odd = np.bincount((distinct & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(text: str | Column, shingle: int) -> Column:
-    @F.arrow_udf("array<bigint>")
+    """struct(n, p, items): size, parity sketch and members of a text's set of distinct shingle hashes."""
+
+    @F.arrow_udf("struct<n: int, p: array<bigint>, items: array<bigint>>")
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, shingle).view(np.int64) for t in text_bytes(texts)], pa.list_(pa.int64()))
+        found = [shingle_set(t, shingle) for t in text_bytes(texts)]
+        lists = pa.list_(pa.int64())
+        columns = [pa.array([len(x) for x in found], pa.int32()), pa.array([parity(x) for x in found], lists), pa.array([x.view(np.int64) for x in found], lists)]
+        return pa.StructArray.from_arrays(columns, ["n", "p", "items"])
 
     return sets(text)
 
@@ -224,45 +238,67 @@ def _print_links(nodes: DataFrame, prints: int, radius: int) -> DataFrame:
     return stage_table(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "print_links")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets (s, items) have at least ``similarity`` of their union in common."""
+def _may_link(u: str, v: str, similarity: float) -> Column:
+    """Whether sizes and parity sketches (structs ``u`` and ``v`` of n and p) leave room for the similarity.  Exact: never false for a link."""
+    m, n = F.col(f"{u}.n"), F.col(f"{v}.n")
+    apart = sum((F.bit_count(F.col(f"{u}.p")[i].bitwiseXOR(F.col(f"{v}.p")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return (F.least(m, n) >= F.ceil(similarity * F.greatest(m, n) - 1e-6)) & (apart <= (m + n) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def _sketches(sets: DataFrame, node: str, sketch: str) -> DataFrame:
+    return sets.select(F.col("s").alias(node), F.struct("n", "p").alias(sketch))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float, bounded: bool = False) -> DataFrame:
+    """The pairs (u, v) whose sets (s, n, p, items) have at least ``similarity`` of their union in common; sketches first
+    (unless ``bounded``: they have been compared), so that sets travel for few pairs."""
+    if not bounded:
+        known = pairs.join(_sketches(sets, "u", "a"), "u").join(_sketches(sets, "v", "b"), "v")
+        pairs = known.where(_may_link("a", "b", similarity)).select("u", "v")
     x, y = (sets.select(F.col("s").alias(s), F.col("items").alias(items)) for s, items in ("ux", "vy"))
-    m, n = F.size("x"), F.size("y")
-    close = F.least(m, n) >= F.ceil(similarity * F.greatest(m, n) - 1e-6)
-    enough = F.size(F.array_intersect("x", "y")) >= F.ceil((m + n) * (similarity / (1 + similarity)) - 1e-6)
-    return stage_table(pairs.join(x, "u").join(y, "v").where(close).where(enough).select("u", "v"), "similar")
+    enough = F.size(F.array_intersect("x", "y")) >= F.ceil((F.size("x") + F.size("y")) * (similarity / (1 + similarity)) - 1e-6)
+    return stage_table(pairs.join(x, "u").join(y, "v").where(enough).select("u", "v"), "similar")
 
 
-def _band_links(members: DataFrame, sets: DataFrame, similarity: float, most_joined: int = 32) -> DataFrame:
-    """Verified links between the ``members`` (key, s, n) of shared band keys: all pairs in buckets of up to ``most_joined``.
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
-    In larger buckets leaders are verified against all members, until each member has been one or is linked to one; a
-    bucket of near copies takes one round.  Only two members that are each linked to another leader are not compared there.
+
+def _band_links(members: DataFrame, sets: DataFrame, known: DataFrame, similarity: float, most_joined: int = 32) -> DataFrame:
+    """``known`` links and verified ones between the ``members`` (key, s, n) of shared band keys, enough of them to connect
+    all that are linked.
+
+    Buckets of up to ``most_joined`` join their members.  In a larger one a leader, the member of the largest buckets, is
+    compared with all; a group of near copies is connected by that.  Components then show who is outside the bucket's
+    largest one, and only these are compared with the members of other components.  Sketches decide inside both joins, so rows
+    come out for pairs that nearly certainly link, and no link between two components is left out.
     """
-    ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
     left, right = (members.where(F.col("n") <= most_joined).select("key", F.col("s").alias(x)) for x in "uv")
-    found = _similar(left.join(right, "key").where("u < v").select("u", "v").distinct(), sets, similarity)
-    hot = members.where(F.col("n") > most_joined).select("key", "s")
+    found = known.union(_similar(left.join(right, "key").where("u < v").select("u", "v").distinct(), sets, similarity))
+    hot = members.where(F.col("n") > most_joined).select("key", "s", "n")
     if hot.isEmpty():
         return found
-    hot = waiting = stage_table(hot, "hot")
-    leaders = 1
-    while not waiting.isEmpty():
-        # so many leaders a bucket, each the least of a share of those that wait; an aggregate that combines before the shuffle
-        share = F.pmod(F.xxhash64("s", "key"), F.lit(leaders)).alias("share")
-        led = stage_table(waiting.groupBy("key", share).agg(F.min_by("s", F.xxhash64("key", "s")).alias("u")).select("key", "u"), "leaders")
-        tried = hot.join(broadcast_if_small(led), "key").select("key", "u", F.col("s").alias("v"))
-        close = _similar(ordered(tried), sets, similarity)
-        found = found.union(close)
-        either = close.union(close.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        met = tried.join(either, ["u", "v"], "left_semi").select("key", F.col("v").alias("s")).union(led.select("key", F.col("u").alias("s"))).distinct()
-        waiting = stage_table(waiting.join(met, ["key", "s"], "left_anti"), "waiting")
-        leaders *= 4
-    return found
-
-
-def _set_classes(docs: DataFrame, printed: DataFrame, id_col: str, text_col: str, shingle: int, prints: int, radius: int, similarity: float) -> DataFrame:
-    """(s, first): for each shingle set of ``printed`` (id, t, s, fps, keys) the first row (none, id, t) of its component."""
+    hot = stage_table(hot.join(_sketches(sets, "s", "a"), "s"), "hot")
+    weights = hot.groupBy("s").agg(F.sum("n").alias("weight"))
+    led = hot.select("key", "s").join(weights, "s").groupBy("key").agg(F.max_by("s", F.struct("weight", "s")).alias("u"))
+    led = stage_table(led.join(_sketches(sets, "u", "b"), "u"), "leaders")
+    tried = hot.join(broadcast_if_small(led), (hot["key"] == led["key"]) & _may_link("a", "b", similarity)).select("u", F.col("s").alias("v"))
+    found = found.union(_similar(_ordered(tried), sets, similarity, bounded=True))
+    roots = stage_table(components(found), "roots")
+    placed = hot.join(broadcast_if_small(roots), F.col("s") == F.col("node"), "left").select("key", "s", "a", F.coalesce("root", "s").alias("root"))
+    placed = stage_table(placed, "placed")
+    shares = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k"))
+    home = shares.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("home"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    outside = placed.join(broadcast_if_small(stage_table(home, "home")), "key").where("root <> home")
+    outside = stage_table(outside.select(F.col("key").alias("own_key"), F.col("s").alias("u"), F.col("a").alias("b"), F.col("root").alias("own_root")), "outside")
+    apart = (F.col("key") == F.col("own_key")) & (F.col("root") != F.col("own_root")) & _may_link("a", "b", similarity)
+    across = placed.join(broadcast_if_small(outside), apart).select("u", F.col("s").alias("v"))
+    more = _similar(_ordered(across), sets, similarity, bounded=True)
+    return roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
+
+
+def _kept(docs: DataFrame, printed: DataFrame, id_col: str, text_col: str, shingle: int, prints: int, radius: int, similarity: float, repeats: bool) -> DataFrame:
+    """(__id, __t) of the first row, by (none, id, t), of each component of the shingle sets of ``printed`` (id, t, s, fps, keys); repeats: whether rows repeat an (id, t)."""
     nodes = stage_table(printed.groupBy("s").agg(F.min(_first("id", "t")).alias("first"), F.min("fps").alias("fps"), F.min("keys").alias("keys")), "sets")
     near = _print_links(nodes, prints, radius)
     keys = nodes.select(F.explode("keys").alias("key"), "s")
@@ -273,12 +309,12 @@ def _set_classes(docs: DataFrame, printed: DataFrame, id_col: str, text_col: str
     wanted = stage_table(nodes.join(ends, "s").select("s", F.col("first.id").alias("__id"), F.col("first.t").alias("__t")), "wanted")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), _text_hash(text_col).alias("t"))
     texts = texts.join(broadcast_if_small(wanted), texts["id"].eqNullSafe(wanted["__id"]) & (texts["t"] == wanted["__t"]))
-    sets = stage_table(texts.select("s", shingle_sets("text", shingle).alias("items")), "shingles")
-    found = _similar(near, sets, similarity).union(_band_links(members, sets, similarity))
-    roots = stage_table(components(found), "roots")
+    sets = texts.select("s", shingle_sets("text", shingle).alias("x")).select("s", "x.*")
+    sets = stage_table(sets.dropDuplicates(["s"]) if repeats else sets, "shingles")
+    roots = stage_table(components(_band_links(members, sets, _similar(near, sets, similarity), similarity)), "roots")
     linked = nodes.select("s", "first").join(broadcast_if_small(roots), F.col("s") == F.col("node"), "left")
-    best = stage_table(linked.where("node is not null").groupBy("root").agg(F.min("first").alias("best")), "best")
-    return linked.join(broadcast_if_small(best), "root", "left").select("s", F.coalesce("best", "first").alias("first"))
+    best = linked.groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("first").alias("best"))
+    return best.select(F.col("best.id").alias("__id"), F.col("best.t").alias("__t"))
 
 
 def _text_hash(text_col: str) -> Column:
@@ -294,23 +330,25 @@ def keep_first(
     ``prints`` fingerprints lies within ``radius`` bits, and texts that share one of BANDS MinHash bands of the set, which
     finds nearly every pair of that similarity; each candidate is verified on the sets.
     The rows to drop are named by (id, text hash).  Few of them are broadcast, so that texts don't move; beyond the bound
-    the join shuffles.  Rows repeated in id and text are reduced to one.
+    the join shuffles.  Rows repeated in id and text are reduced to the one whose JSON is least.
     """
     text_hash = _text_hash(text_col)
     printed = docs.select(F.col(f"`{id_col}`").alias("id"), text_hash.alias("t"), signatures(F.col(f"`{text_col}`"), shingle, prints).alias("x"))
     printed = stage_table(printed.select("id", "t", "x.*"), "prints")
-    classed = printed.select("id", "t", "s").join(_set_classes(docs, printed, id_col, text_col, shingle, prints, radius, similarity), "s")
-    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
-    ruled = stage_table(
-        classed.groupBy("id", "t").agg(F.count(F.lit(1)).alias("n"), F.max(kept).alias("kept")).where("n > 1 or not kept").withColumnsRenamed({"id": "__id", "t": "__t"}),
-        "ruled",
+    rows = stage_table(printed.groupBy("id", "t").agg(F.count(F.lit(1)).alias("n")), "rows")
+    repeats = not rows.where("n > 1").isEmpty()
+    kept = _kept(docs, printed, id_col, text_col, shingle, prints, radius, similarity, repeats).withColumn("kept", F.lit(True))
+    ruled = rows.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t")), "left").select(
+        F.col("id").alias("__id"), F.col("t").alias("__t"), "n", F.coalesce("kept", F.lit(False)).alias("kept")
     )
+    ruled = stage_table(ruled.where("n > 1 or not kept"), "ruled")
     keyed = docs.withColumn("__text_hash", text_hash)
     same = lambda other: F.col(f"`{id_col}`").eqNullSafe(other["__id"]) & (F.col("__text_hash") == other["__t"])
     once = keyed.join(broadcast_if_small(ruled), same(ruled), "left_anti")
-    repeated = ruled.where("kept")
-    if repeated.isEmpty():
+    if not repeats:
         return once.drop("__text_hash")
+    repeated = ruled.where("kept")
     again = keyed.join(broadcast_if_small(repeated), same(repeated), "left_semi")
-    firsts = again.groupBy(id_col, "__text_hash").agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("__row"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    firsts = again.groupBy(f"`{id_col}`", "__text_hash").agg(F.min_by(row, F.to_json(row)).alias("__row"))
     return once.drop("__text_hash").union(firsts.select("__row.*"))

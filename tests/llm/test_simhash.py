@@ -158,3 +158,41 @@ def test_keep_first_keeps_different_texts_with_common_lines(spark):
     assert jaccard(data[0][1], data[1][1]) < 0.01
     kept = simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert len(kept) == 12
+
+
+def test_keep_first_connects_a_group_that_straddles_the_threshold(spark):
+    """Variants of one text with more and fewer edits, and a second group that only outer members link to it: as brute force has it."""
+    rng = random.Random(6)
+    words = [f"w{rng.getrandbits(40)}" for _ in range(150)]
+    data = [(i, edited(rng, words, rng.randrange(1, 9))) for i in range(160)]
+    chain = data[5][1].split()
+    for i in range(160, 230):  # a walk away from the group
+        chain = edited(rng, chain, 1 + i % 2).split()
+        data.append((i, " ".join(chain)))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in data)]
+    parent = list(range(len(data)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j])):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    want = sorted({find(i) for i in range(len(data))})
+    assert 20 < len(want) < 200
+    kept = simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 3000))).encode() for _ in range(40)]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    for a in sets:
+        for b in sets:
+            bits = sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(simhash.parity(a), simhash.parity(b)))
+            assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
