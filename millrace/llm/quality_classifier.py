@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, remainder, stage_table, text_bytes
+from .common import broadcast_if_small, own_columns, remainder, stage_table, text_bytes
 
 MAX_FIT_ROWS = 200_000
 FIT_PARTITIONS = 16
@@ -205,12 +205,17 @@ def fit(
     return QualityModel(mean, scale, weights, model.phases, ridge, steps, levels)
 
 
-def training_rows(measured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """Staged (x, y, fold) of the labelled rows whose crc32(id) mod 5 is not 0.  measured: id_col and x."""
+def usable_labels(labels: DataFrame, *, id_col: str, label_col: str) -> DataFrame:
+    """(__id, y, fold) of the labels that may train: no nulls, crc32(id) mod 5 not 0."""
     known = own_columns(labels, __id=id_col, y=label_col).where(F.col("__id").isNotNull() & F.col("y").isNotNull())
     fold = remainder("__id", 5)
-    known = known.withColumn("fold", (fold != 4).cast("int")).where(fold != 0)
-    return stage_table(measured.join(known, F.col(f"`{id_col}`") == F.col("__id")).select("x", F.col("y").cast("int").alias("y"), "fold"), "fit")
+    return known.select("__id", F.col("y").cast("int").alias("y"), (fold != 4).cast("int").alias("fold")).where(fold != 0)
+
+
+def training_rows(measured: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """Staged (x, y, fold) of the labelled rows.  measured: id_col and x."""
+    known = usable_labels(labels, id_col=id_col, label_col=label_col)
+    return stage_table(measured.join(known, F.col(f"`{id_col}`") == F.col("__id")).select("x", "y", "fold"), "fit")
 
 
 def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3) -> DataFrame:
@@ -227,7 +232,14 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def keep_predicted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose score is at least ``cut``; scored in place, without a join."""
-    measured = own_columns(docs, id=id_col, text=text_col).select("id", statistics("text").alias("x"))
-    model = fit(training_rows(measured, labels.select(F.col(f"`{id_col}`").alias("id"), f"`{label_col}`"), id_col="id", label_col=label_col))
+    """The rows of ``docs``, with their columns, whose score is at least ``cut``; scored in place, without a join.
+
+    Only rows with a usable label, of which a hash of the id leaves about MAX_FIT_ROWS, are measured to train.
+    """
+    known = stage_table(usable_labels(labels, id_col=id_col, label_col=label_col), "labels")
+    n = known.count()
+    if n > MAX_FIT_ROWS:
+        known = known.where(F.pmod(F.xxhash64("__id", F.lit(17)), F.lit(1_000_000)) < int(1e6 * MAX_FIT_ROWS / n))
+    texts = own_columns(docs, id=id_col, text=text_col).join(broadcast_if_small(known, 2 * MAX_FIT_ROWS), F.col("id") == F.col("__id"))
+    model = fit(stage_table(texts.select(statistics("text").alias("x"), "y", "fold"), "fit"))
     return docs.where(model.text_column(F.col(f"`{text_col}`")) >= cut)

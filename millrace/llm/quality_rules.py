@@ -224,15 +224,18 @@ def judge(
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep_at: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with their columns, that ``judge`` keeps; verdicts are made in place, without a join."""
+    """The rows of ``docs``, with their columns, that ``judge`` keeps.
+
+    Texts are measured once: the rows go to the shared folder with their votes, the label model reads the votes alone, and the
+    verdict is a filter on reading.
+    """
     own = {r.name: f"__vote_{i}" for i, r in enumerate(rules)}
     columns = docs.columns
     hidden = {c: f"__doc_{i}" for i, c in enumerate(columns)}
-    text = hidden[text_col]
-    measured = statistics(docs.toDF(*hidden.values()), text)
-    voted = measured.withColumns({own[r.name]: r.vote() for r in rules}).withColumn("__failed", base_failed())
-    counts = stage_table(voted.select(*own.values(), "__failed"), "votes")
-    patterns = counts.groupBy(*(F.col(own[r.name]).alias(r.name) for r in rules)).agg(F.count(F.lit(1)).alias("n"))
+    measured = statistics(docs.toDF(*hidden.values()), hidden[text_col])
+    voted = measured.select(*hidden.values(), *(r.vote().alias(own[r.name]) for r in rules), base_failed().alias("__failed"))
+    voted = stage_table(voted, "voted")
+    patterns = voted.groupBy(*(F.col(own[r.name]).alias(r.name) for r in rules)).agg(F.count(F.lit(1)).alias("n"))
     model = fit(stage_table(patterns.coalesce(1), "patterns"), rules)
     kept = voted.where(~F.col("__failed") & (model.posterior([F.col(v) for v in own.values()]) >= keep_at))
     return kept.select(*(F.col(hidden[c]).alias(c) for c in columns))
