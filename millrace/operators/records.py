@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import seeded_order
+from ..sources.staging import stage_table
 
 
 def first_occurrence(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -19,19 +20,34 @@ def tri_state(gate_ok: Column, length: Column, most: int) -> Column:
     return F.when(~gate_ok, "gate").when(length.isNull() | (length >= most), "length").otherwise("ok")
 
 
-def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
-    """Global rank from 1 without gathering the rows in one task: rows are range-partitioned by the order, each partition
-    ranks its own, and the partitions' counts (one row a partition) give the offsets."""
+def _numbered(df: DataFrame, order: list[Column | str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows in range partitions of the order, written once with their partition and their rank in it, and the ranks before
+    each partition.  Ranks and counts come from the same written table: a second execution would cut the ranges elsewhere."""
     spark = df.sparkSession
     ordered = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    own = ordered.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    own = stage_table(ordered.withColumn("__own", F.row_number().over(Window.partitionBy("__part").orderBy(*order))), name)
     counts = {r["__part"]: r["n"] for r in own.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = [], 0
     for part in sorted(counts):
         offsets.append((part, total))
         total += counts[part]
-    table = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "__part int, __before long"))
-    return own.join(table, "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+    return own, spark.createDataFrame(offsets or [(0, 0)], "__part int, __before long")
+
+
+def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """Global rank from 1 without gathering the rows in one task: rows are range-partitioned by the order, each partition
+    ranks its own, and the partitions' counts (one row a partition) give the offsets."""
+    own, offsets = _numbered(df, order, "ranked")
+    return own.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
+
+
+def group_ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
+    """Rank from 1 within each group, a group of any size: global ranks by group and order, less those before the group."""
+    everywhere = ranked(df, [*group, *order], "__global")
+    first = everywhere.groupBy(*(F.col(g).alias(f"__{g}") for g in group)).agg((F.min("__global") - 1).alias("__first"))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
+    out = everywhere.join(first, same).withColumn(name, F.col("__global") - F.col("__first"))
+    return out.drop("__global", "__first", *(f"__{g}" for g in group))
 
 
 def skip_take(df: DataFrame, order: list[Column | str], skip: int, take: int) -> DataFrame:
@@ -46,12 +62,17 @@ def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return (out if n < 0 else out.orderBy("__draw", key).limit(n)).drop("__draw")
 
 
-def stratified_sample(df: DataFrame, strata: list[str], key: str, seed: int, n: int) -> DataFrame:
-    """Round robin over strata in seeded order, each in seeded order, until n rows."""
+def stratified_sample(df: DataFrame, strata: list[str], key: str, seed: int, n: int, exact: bool = False) -> DataFrame:
+    """Round robin over strata in seeded order, each in seeded order, until n rows.  No stratum gives more than n, so each
+    task passes on n rows a stratum at most.  exact: an error where there are fewer than n rows."""
     draw = seeded_order(seed, F.col(key))
     turn = F.row_number().over(Window.partitionBy(*strata).orderBy(draw, key))
     stratum = seeded_order(seed, F.concat_ws("|", *strata))
-    return df.withColumn("__turn", turn).withColumn("__stratum", stratum).orderBy("__turn", "__stratum", key).limit(n).drop("__turn", "__stratum")
+    turns = df.withColumn("__turn", turn).where(F.col("__turn") <= n).withColumn("__stratum", stratum)
+    out = turns.orderBy("__turn", "__stratum", key).limit(n).drop("__turn", "__stratum")
+    if exact and (found := out.count()) < n:
+        raise ValueError(f"{found} rows of {n}")
+    return out
 
 
 def per_group_sample(df: DataFrame, group: list[str], key: str, seed: int, n: int) -> DataFrame:
@@ -66,22 +87,20 @@ def interleave(df: DataFrame, group: str, order: list[str], kind: str = "even")
     even: slot is (rank - 0.5) / size of the group; round_robin: the rank in the group.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
-    order_of_groups = Window.orderBy(F.desc("group_size"), F.asc(group))
-    sizes = sizes.withColumn("group_order", F.row_number().over(order_of_groups))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    out = df.withColumn("group_rank", rank).join(sizes, group)
+    sizes = ranked(sizes, [F.desc("group_size"), F.asc(group)], "group_order").withColumnRenamed(group, "__group")
+    out = group_ranked(df, [group], order, "group_rank").join(sizes, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
     slot = (F.col("group_rank") - 0.5) / F.col("group_size") if kind == "even" else F.col("group_rank").cast("double")
     return out.withColumn("slot", slot)
 
 
 def balance(df: DataFrame, group: str, key: str) -> DataFrame:
     """Every group up-sampled to the largest one's size: each row as often as its turn comes, rows in seeded order."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.agg(F.max("n").alias("top"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(seeded_order(0, F.col(key)), key))
-    out = df.withColumn("__rank", rank).join(sizes, group).crossJoin(F.broadcast(largest))
+    drawn = group_ranked(df.withColumn("__draw", seeded_order(0, F.col(key))), [group], ["__draw", key], "__rank")
+    out = drawn.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).crossJoin(F.broadcast(largest))
     copies = F.floor((F.col("top") - F.col("__rank")) / F.col("n")) + 1
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop("__rank", "n", "top")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop("__rank", "__draw", "__group", "n", "top")
 
 
 def modal_length(df: DataFrame, length: str) -> DataFrame:

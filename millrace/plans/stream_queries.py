@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir
 from ..streaming import pipelines
 from .registry import Registry
 
@@ -14,8 +13,7 @@ QUERIES, SQL = query.queries, query.sql
 
 
 def shared(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/millrace-shared"
-    return f"{folder.rstrip('/')}/millrace-streams"
+    return f"{shared_dir(spark)}/millrace-streams"
 
 
 def events(spark, sf_dir):
