@@ -51,3 +51,16 @@ def probability_bin(p: Column) -> Column:
 def rounded_percentile(column: str, p: float) -> Column:
     """Percentile with linear interpolation, rounded half to even; 0 on nothing."""
     return F.coalesce(F.bround(F.percentile(column, F.lit(p)), 0).cast("long"), F.lit(0).cast("long"))
+
+
+def weighted_defined(weights: dict[str, float]) -> Column:
+    """Weighted mean of the columns that are defined, their weights scaled up to 1; null where none is."""
+    metrics = [(F.col(name), w) for name, w in weights.items()]
+    total = sum((F.when(m.isNotNull(), w).otherwise(0.0) for m, w in metrics), F.lit(0.0))
+    value = sum((F.coalesce(m * w, F.lit(0.0)) for m, w in metrics), F.lit(0.0))
+    return ratio(value, total)
+
+
+def alignment_score(recall: Column, mrr: Column, precision: Column, loss: Column) -> Column:
+    """0.45 recall + 0.25 MRR + 0.2 average precision + 0.1 exp(-loss), the loss at most 20."""
+    return 0.45 * recall + 0.25 * mrr + 0.2 * precision + 0.1 * F.exp(-F.least(loss, F.lit(20.0)))

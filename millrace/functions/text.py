@@ -103,3 +103,9 @@ def bus_width(declaration: Column) -> Column:
 def safe_name(text: Column) -> Column:
     """Anything but letters, digits, ``_`` and ``-`` as ``_``."""
     return F.regexp_replace(text, "[^A-Za-z0-9_-]", "_")
+
+
+def stripped_length(items: Column, padding: Column) -> Column:
+    """Length of an array without empty items and without the run of ``padding`` at its end."""
+    kept = F.filter(items, lambda x: x != "")
+    return F.aggregate(kept, F.struct(F.lit(0).alias("n"), F.lit(0).alias("last")), lambda a, x: F.struct((a["n"] + 1).alias("n"), F.when(x == padding, a["last"]).otherwise(a["n"] + 1).alias("last")), lambda a: a["last"])

@@ -117,3 +117,33 @@ def retrieval(similarities: DataFrame, query: str, target: str, score: str) -> D
     w = Window.partitionBy(query).orderBy(F.desc(score), F.asc(target))
     own = similarities.withColumn("r", F.row_number().over(w)).where(F.col(query) == F.col(target))
     return own.agg(F.avg((F.col("r") <= 1).cast("double")).alias("recall_1"), F.avg((F.col("r") <= 5).cast("double")).alias("recall_5"), F.avg(1 / F.col("r")).alias("mrr"))
+
+
+def coverage_bounds(df: DataFrame, circuit: str, fault: str, detected: str) -> DataFrame:
+    """Per circuit the shares of faults that are surely detected and that may be: unknown (null) cells count in the upper one."""
+    own = df.groupBy(circuit, fault).agg(F.coalesce(F.bool_or(detected), F.lit(False)).alias("lo"), F.bool_or(F.coalesce(detected, F.lit(True))).alias("hi"))
+    return own.groupBy(circuit).agg(F.count(F.lit(1)).alias("n_faults"), F.avg(F.col("lo").cast("int")).alias("low"), F.avg(F.col("hi").cast("int")).alias("high"))
+
+
+def survivors(df: DataFrame, group: str, key: str, quality: list[str], score: str, vector: str, size: int) -> DataFrame:
+    """Of each group's distinct vectors the best by (quality, score), then, until there are ``size``, the one of best quality, of
+    those the farthest (share of places) from the kept ones, of those the best score: (group, place, key).
+
+    Each choice needs the ones before, so a group's candidates are one function's; equal vectors are reduced before.
+    """
+    kind = dict(df.dtypes)
+    best = df.groupBy(group, vector).agg(F.max_by(F.struct(*quality, score, key), F.struct(*quality, score, -F.col(key))).alias("r")).select(group, vector, "r.*")
+
+    def choose(rows):
+        import pandas as pd
+
+        pool = sorted(rows.itertuples(index=False), key=lambda r: (*(getattr(r, q) for q in quality), getattr(r, score), -getattr(r, key)), reverse=True)
+        kept = [pool.pop(0)]
+        while pool and len(kept) < size:
+            apart = lambda r: min(sum(a != b for a, b in zip(getattr(r, vector), getattr(k, vector))) / max(1, len(getattr(r, vector))) for k in kept)
+            following = max(pool, key=lambda r: (*(getattr(r, q) for q in quality), apart(r), getattr(r, score)))
+            kept.append(following)
+            pool.remove(following)
+        return pd.DataFrame([(getattr(r, group), i + 1, getattr(r, key)) for i, r in enumerate(kept)], columns=[group, "place", key])
+
+    return best.groupBy(group).applyInPandas(choose, f"{group} {kind[group]}, place int, {key} {kind[key]}")

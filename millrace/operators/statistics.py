@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import unit_interval
+from ..functions.numbers import pass_at_k
+from .records import ranked
+
 
 def box_statistics(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, mean, sample deviation (0 for one row), minimum, quartiles with linear interpolation, maximum."""
@@ -60,18 +64,81 @@ def median_of_seeds(df: DataFrame, config: str, seed: str, order: str, metric: s
     return last.groupBy(config).agg(F.percentile("m", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n_seeds")).where(F.col("n_seeds") >= least_seeds)
 
 
-def bootstrap_interval(df: DataFrame, value: str, repeats: int = 1000, seed: int = 0) -> DataFrame:
-    """Percentile bootstrap of a mean by Poisson weights: each row draws its weight in each repeat from a hash, so no row
-    moves; one aggregate of (weighted sum, weight) by repeat, then the 2.5th and 97.5th percentiles.  A statistically
-    equivalent form of resampling with replacement that needs no row order and no driver list."""
-    u = F.pmod(F.xxhash64("__key", "rep", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    weight, total = F.lit(0), 0.0
-    step = 0.36787944117144233
+def bootstrap_interval(df: DataFrame, key: str, value: str, repeats: int = 1000, seed: int = 0) -> DataFrame:
+    """Percentile bootstrap of a mean by Poisson weights: each row draws its weight in each repeat from the seeded digest of its own
+    key, so no row moves and reruns agree; sums by repeat are combined in each task, and the 2.5th and 97.5th percentiles
+    taken.  A statistically equivalent form of resampling with replacement.  Work is rows times repeats: give it one row a
+    circuit."""
+    u = unit_interval(seed, F.concat_ws(":", F.col("rep").cast("string"), F.col("__key").cast("string")))
+    weight, total, step = F.lit(0), 0.0, 0.36787944117144233
     for k in range(12):
         total += step
         weight = weight + F.when(u >= total, 1).otherwise(0)
         step /= k + 1
-    keyed = df.select(F.col(value).alias("v"), F.monotonically_increasing_id().alias("__key")).where(F.col("v").isNotNull())
+    keyed = df.select(F.col(value).alias("v"), F.col(key).alias("__key")).where(F.col("v").isNotNull())
     reps = keyed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("w", weight)
     means = reps.groupBy("rep").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.count("m").alias("repeats"))
+
+
+def lift_over_random(df: DataFrame, circuit: str, n: str, c: str, p: str, k: int) -> DataFrame:
+    """One row: mean of 1 - (1 - p)^k, the mean lift of pass@k over it, and the mean of circuit means of the lift."""
+    rows = df.select(F.col(circuit), pass_at_k(F.col(n), F.col(c), k).alias("d"), (1 - F.pow(1 - F.col(p), F.lit(k))).alias("r")).where("d is not null and r is not null")
+    own = rows.groupBy(circuit).agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"), F.sum("d").alias("d"), F.avg(F.col("d") - F.col("r")).alias("gap"))
+    return own.agg(F.sum("n").alias("n_paired"), (F.sum("r") / F.sum("n")).alias(f"random_{k}"), ((F.sum("d") - F.sum("r")) / F.sum("n")).alias("lift"), F.avg("gap").alias("macro_lift"))
+
+
+def class_weights(df: DataFrame, label: str) -> DataFrame:
+    """(label, n, weight): each label gets the share of its mirror in the list by count, standardised and shifted by the range.
+    Labels, not rows, are ordered."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    up = ranked(counts, [F.desc("n"), F.asc(label)], "__up")
+    total = up.agg(F.sum("n").alias("__t"), F.count(F.lit(1)).alias("__k"))
+    known = up.crossJoin(F.broadcast(total))
+    mirror = known.select((F.col("__k") - F.col("__up") + 1).alias("__up"), (F.col("n") / F.col("__t")).alias("__w"))
+    paired = up.join(mirror, "__up")
+    moments = paired.agg(F.avg("__w").alias("__m"), F.stddev_pop("__w").alias("__s"), F.max("__w").alias("__b"), F.min("__w").alias("__a"))
+    weight = (F.col("__w") - F.col("__m") + F.col("__b") - F.col("__a")) / (F.col("__s") + 0.001)
+    return paired.crossJoin(F.broadcast(moments)).select(label, "n", weight.alias("weight"))
+
+
+def output_baselines(df: DataFrame, group: str, bits: str, width: int) -> DataFrame:
+    """(group, exact, n_patterns, per_bit, n_variable) of bit strings of one width."""
+    patterns = df.groupBy(group, bits).agg(F.count(F.lit(1)).alias("n"))
+    ones = [(F.sum(F.col("n") * F.substring(bits, i + 1, 1).cast("int")) / F.sum("n")) for i in range(width)]
+    own = patterns.groupBy(group).agg((F.max("n") / F.sum("n")).alias("exact"), F.count(F.lit(1)).alias("n_patterns"), F.array(*ones).alias("__a"))
+    better = F.aggregate("__a", F.lit(0.0), lambda acc, a: acc + F.greatest(a, 1 - a)) / width
+    return own.select(group, "exact", "n_patterns", better.alias("per_bit"), F.size(F.filter("__a", lambda a: (a > 0) & (a < 1))).cast("long").alias("n_variable"))
+
+
+def most_common(counts: DataFrame, group: str, item: str, n: str, k: int, high: int) -> DataFrame:
+    """(group, n_unique, top, n_high): distinct items, the k most frequent as ``item n``, and how many have ``high`` or more."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(n), item))
+    first = counts.withColumn("__r", place).where(F.col("__r") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("__r", F.concat_ws(" ", item, F.col(n).cast("string")).alias("s"))))
+    top = first.groupBy(group).agg(F.array_join(F.transform(listed, lambda x: x["s"]), ", ").alias("top"))
+    return counts.groupBy(group).agg(F.count(F.lit(1)).alias("n_unique"), F.count_if(F.col(n) >= high).alias("n_high")).join(top, group)
+
+
+def split_audit(df: DataFrame, split: str, train: str, identities: dict[str, str]) -> DataFrame:
+    """(split, n_rows, n_<name>, <name>_in_train): distinct identities of each split, and those that the training split has too."""
+    out = df.groupBy(split).agg(F.count(F.lit(1)).alias("n_rows"))
+    for name, column in identities.items():
+        own = df.select(split, F.col(column).alias("__i")).distinct()
+        also = own.groupBy("__i").agg(F.max(F.when(F.col(split) == train, 1).otherwise(0)).alias("__t"))
+        shares = own.join(also, "__i").groupBy(split).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.sum("__t").alias(f"{name}_in_train"))
+        out = out.join(shares, split)
+    return out
+
+
+def consumed(per_device: Column, world: Column, accumulation: Column, generations: Column, step: Column, launched: Column) -> list[Column]:
+    """sequences, prompts_per_step and cumulative: rows a step takes, the prompts among them, prompts taken since the start."""
+    sequences = per_device * world * accumulation
+    prompts = F.greatest(F.lit(1), F.floor(sequences / F.greatest(F.lit(1), generations)))
+    return [sequences.cast("long").alias("sequences"), prompts.cast("long").alias("prompts_per_step"), (launched + step * prompts).cast("long").alias("cumulative")]
+
+
+def skip_counter(text: Column, name: str = "cumulative_skip_buffer_size") -> Column:
+    """The counter in a saved JSON summary, at least 0; null where there is none."""
+    value = F.get_json_object(text, f"$.{name}").try_cast("long")
+    return F.when(value.isNotNull(), F.greatest(F.lit(0).cast("long"), value))

@@ -127,7 +127,12 @@ def detection_fractions(spark, sf_dir):
     return ranking.detection_fractions(table(spark, sf_dir, "supplier"), hits, "s_suppkey", "l_partkey")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey % 50 AS circuit, l_orderkey AS o, list(DISTINCT l_suppkey) AS items FROM lineitem GROUP BY ALL),
+    c AS (SELECT circuit, list({'o': o, 'items': items}) AS sets, list_distinct(flatten(list(items))) AS universe FROM s GROUP BY circuit),
+    r AS (SELECT circuit, 0 AS step, NULL::BIGINT AS l_orderkey, universe AS rest FROM c UNION ALL
+        SELECT circuit, step + 1, x.o, list_filter(rest, lambda i: NOT list_contains(x.items, i)) FROM (
+            SELECT r.circuit, step, rest, list_sort(list_transform(sets, lambda p: {'n': -len(list_intersect(p.items, rest)), 'o': p.o, 'items': p.items}))[1] AS x FROM r JOIN c USING (circuit) WHERE len(rest) > 0))
+    SELECT circuit, step, l_orderkey FROM r WHERE step > 0""")
 def greedy_cover(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("circuit"), "l_orderkey", "l_suppkey")
     return ranking.greedy_cover(lines, "circuit", "l_orderkey", "l_suppkey")
@@ -182,11 +187,20 @@ def confusion(spark, sf_dir):
     return lines.select("l_returnflag", "open", "filled", numbers.ratio(F.col("open"), F.col("n")).alias("open_share"))
 
 
-@query()
+_POISSON = [0.36787944117144233]
+for _k in range(1, 12):
+    _POISSON.append(_POISSON[-1] / _k)
+_DRAW = " + ".join(f"(u >= {sum(_POISSON[: k + 1])!r})::INT" for k in range(12))
+
+
+@query(f"""WITH m AS (SELECT l_suppkey, avg(l_quantity) AS m FROM lineitem GROUP BY ALL),
+    d AS (SELECT rep, m, CAST(CAST('0x' || substr(sha256('7:' || rep || ':' || l_suppkey), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS u FROM m, generate_series(0, 499) AS s(rep)),
+    r AS (SELECT rep, sum(m * ({_DRAW})) / sum({_DRAW}) AS m FROM d GROUP BY rep)
+    SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, count(m) AS repeats FROM r""")
 def bootstrap_interval(spark, sf_dir):
     """Over circuit means, one row a supplier."""
     means = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("m"))
-    return statistics.bootstrap_interval(means, "m", repeats=500, seed=7)
+    return statistics.bootstrap_interval(means, "l_suppkey", "m", repeats=500, seed=7)
 
 
 @query("""WITH q AS (SELECT vec_id // 64 AS batch, vec_id, embedding FROM embeddings),
