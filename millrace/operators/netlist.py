@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.signals import base_cell, drive_class, drive_value, family, input_class
+from ..sources.staging import stage_table
+
 # Cells with the Boolean expression of each output over their input pins.
 LIBRARY = {
     "INV": {"Y": "~A"}, "BUF": {"Y": "A"}, "AND2": {"Y": "A & B"}, "OR2": {"Y": "A | B"}, "NAND2": {"Y": "~(A & B)"}, "NOR2": {"Y": "~(A | B)"},
@@ -13,12 +16,15 @@ LIBRARY = {
     "FA": {"S": "A ^ B ^ CI", "CO": "(A & B) | (A & CI) | (B & CI)"},
 }
 
-GATE = r"(?m)^\s*(?!module\b|input\b|output\b|wire\b|endmodule\b)([A-Za-z_]\w*)\s+([A-Za-z_]\w*)\s*\(\s*(\.[^;]*)\)\s*;"
+GATE = r"(?m)^\s*(?!module\b|input\b|output\b|wire\b|assign\b|endmodule\b)([A-Za-z_]\w*)\s+([A-Za-z_]\w*)\s*\(\s*(\.[^;]*)\)\s*;"
 PIN = r"\.\s*(\w+)\s*\(\s*([^()\s]+)\s*\)"
 
 
-def library(spark: SparkSession) -> DataFrame:
-    """(cell, pin, expr): the output pins of every cell."""
+def library(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(cell, pin, expr): the output pins of every cell; from a JSON file of {cell: {pin: expr}} where a path is given."""
+    if path is not None:
+        text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
+        return text.select(F.explode("m").alias("cell", "pins")).select("cell", F.explode("pins").alias("pin", "expr"))
     return spark.createDataFrame([(c, p, e) for c, pins in LIBRARY.items() for p, e in pins.items()], "cell string, pin string, expr string")
 
 
@@ -49,7 +55,7 @@ def edges(pins: DataFrame, cells: DataFrame, design: str = "design") -> DataFram
     library entry has it as an output; pins of unknown cells drive if they are called as outputs usually are."""
     usual = F.col("pin").isin("Y", "Z", "Q", "QN", "S", "CO", "OUT", "O")
     known = cells.select("cell").distinct().withColumn("known", F.lit(True))
-    marked = pins.join(F.broadcast(cells.select("cell", "pin").withColumn("drives", F.lit(True))), ["cell", "pin"], "left").join(F.broadcast(known), "cell", "left")
+    marked = pins.join(cells.select("cell", "pin").withColumn("drives", F.lit(True)), ["cell", "pin"], "left").join(known, "cell", "left")
     out = F.coalesce("drives", F.when(F.col("known"), F.lit(False)), usual)
     marked = marked.withColumn("out", out)
     drivers = marked.where("out").select(design, "net", F.col("idx").alias("src"))
@@ -64,7 +70,9 @@ def degrees(links: DataFrame, design: str = "design") -> DataFrame:
 
 
 def depths(links: DataFrame, design: str = "design") -> DataFrame:
-    """(design, node, forward, backward): longest paths from a source and to a sink; nodes on cycles have none.
+    """(design, node, forward, backward, forward_share, backward_share): longest paths from a source and to a sink, also as
+    shares of the design's longest.  A node on a cycle, or behind one, has the longest path that reaches it from outside, 0
+    without any.
 
     A longest path needs the whole design in order, so each design is one group; designs, not rows, are the parallel unit.
     """
@@ -73,33 +81,79 @@ def depths(links: DataFrame, design: str = "design") -> DataFrame:
     def longest(rows):
         import pandas as pd
 
-        def levels(pairs):
-            after, waits = {}, {}
+        def levels(pairs, nodes):
+            after, waits, level = {}, dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 0)
             for a, b in pairs:
                 after.setdefault(a, []).append(b)
-                waits[b] = waits.get(b, 0) + 1
-                waits.setdefault(a, 0)
-            level = {n: 0 for n, k in waits.items() if not k}
-            ready = list(level)
-            done = {}
+                waits[b] += 1
+            ready = [n for n, k in waits.items() if not k]
             while ready:
                 n = ready.pop()
-                done[n] = level[n]
                 for m in after.get(n, ()):
-                    level[m] = max(level.get(m, 0), level[n] + 1)
+                    level[m] = max(level[m], level[n] + 1)
                     waits[m] -= 1
                     if not waits[m]:
                         ready.append(m)
-            return done
+            return level
 
         pairs = list(zip(rows["src"], rows["dst"]))
-        forward, backward = levels(pairs), levels([(b, a) for a, b in pairs])
         nodes = sorted({n for p in pairs for n in p})
-        return pd.DataFrame({design: rows[design].iloc[0], "node": nodes, "forward": pd.array([forward.get(n) for n in nodes], "Int64"), "backward": pd.array([backward.get(n) for n in nodes], "Int64")})
-
-    return links.groupBy(design).applyInPandas(longest, f"{design} {kind}, node int, forward bigint, backward bigint")
-
-
-def drive_strength(cell: Column) -> Column:
-    """The number behind the last x of a cell's name, as ``INVx2`` has it; null without."""
-    return F.nullif(F.regexp_extract(cell, r"(?i)x(\d+)(?:_\w+)?$", 1), F.lit("")).cast("int")
+        found = levels(pairs, nodes), levels([(b, a) for a, b in pairs], nodes)
+        tops = [max(1, *f.values()) for f in found]
+        out = {design: rows[design].iloc[0], "node": nodes}
+        for name, f, top in zip(("forward", "backward"), found, tops):
+            out[name] = [f[n] for n in nodes]
+            out[f"{name}_share"] = [f[n] / top for n in nodes]
+        return pd.DataFrame(out)[[design, "node", "forward", "backward", "forward_share", "backward_share"]]
+
+    return links.groupBy(design).applyInPandas(longest, f"{design} {kind}, node int, forward bigint, backward bigint, forward_share double, backward_share double")
+
+
+def site_features(pins: DataFrame, cells: DataFrame, faults: DataFrame, design: str = "design") -> DataFrame:
+    """(design, idx, drives, reads, sa0, sa1) of the gates at each design's fault (columns stuck_at, net)."""
+    outs = cells.select("cell", "pin").withColumn("__out", F.lit(True))
+    own = pins.join(faults, [design, "net"]).join(outs, ["cell", "pin"], "left").withColumn("__out", F.coalesce("__out", F.lit(False)))
+    return own.groupBy(design, "idx").agg(
+        F.max(F.col("__out").cast("int")).alias("drives"), F.max((~F.col("__out")).cast("int")).alias("reads"),
+        F.max((F.col("stuck_at") == 0).cast("int")).alias("sa0"), F.max((F.col("stuck_at") == 1).cast("int")).alias("sa1"),
+    )
+
+
+def fault_universe(declared: DataFrame, design: str = "design") -> DataFrame:
+    """Both faults of every declared net."""
+    nets = declared.select(design, "net").distinct()
+    return nets.select(design, F.explode(F.array(F.lit("sa0 "), F.lit("sa1 "))).alias("p"), "net").select(design, F.concat("p", "net").alias("fault"))
+
+
+def gate_attributes(pins: DataFrame, cells: DataFrame, families: Column, design: str = "design") -> DataFrame:
+    """(design, idx, cell, base, family, drive, inputs, outputs) of each gate; a cell that the table lacks is UNKNOWN."""
+    outs = cells.select("cell", "pin").withColumn("__out", F.lit(True))
+    known = cells.select("cell").distinct().withColumn("__known", F.lit(True))
+    marked = pins.join(outs, ["cell", "pin"], "left").join(known, "cell", "left")
+    own = marked.groupBy(design, "idx", "cell").agg(F.count_if(F.col("__out").isNull()).alias("n_in"), F.count("__out").alias("n_out"), F.max("__known").alias("__known"))
+    base = base_cell(F.col("cell"))
+    unknown = F.col("__known").isNull()
+    return own.select(
+        design, "idx", "cell", base.alias("base"), F.when(unknown, "UNKNOWN").otherwise(family(base, families)).alias("family"),
+        F.when(unknown, "UNKNOWN").otherwise(drive_class(drive_value(F.col("cell")))).alias("drive"), F.when(unknown, "UNKNOWN").otherwise(input_class(F.col("n_in"))).alias("inputs"),
+        F.when(unknown, 0).otherwise(F.col("n_out")).cast("int").alias("outputs"),
+    )
+
+
+def topological_levels(links: DataFrame, most: int = 10_000) -> DataFrame:
+    """(node, level) of a graph (src before dst): the longest path from a source.  Each round settles the nodes all of whose
+    predecessors are settled; ValueError where a cycle stops that.  Rounds are the graph's depth."""
+    links = stage_table(links.select("src", "dst").distinct(), "links")
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    done = stage_table(nodes.join(links, F.col("node") == F.col("dst"), "left_anti").select("node", F.lit(0).alias("level")), "levels")
+    waiting = stage_table(nodes.join(done, "node", "left_anti"), "waiting")
+    for level in range(1, most):
+        if waiting.isEmpty():
+            return done
+        blocked = links.join(waiting, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
+        free = stage_table(waiting.join(blocked, "node", "left_anti").select("node", F.lit(level).alias("level")), "free")
+        if free.isEmpty():
+            break
+        done = done.union(free)
+        waiting = stage_table(waiting.join(free, "node", "left_anti"), "waiting")
+    raise ValueError("a cycle, or a deeper graph than that")
