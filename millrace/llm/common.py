@@ -1,48 +1,17 @@
-"""What the training-data operators share: shared-folder tables, Arrow access to text bytes, checked broadcasts."""
+"""What the training-data operators share: Arrow access to text bytes, checked broadcasts."""
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import drop_table, stage_table  # noqa: F401  (for the operators)
+
 #: Rows up to which the small side of a join is broadcast; beyond, the join shuffles (AQE splits skewed keys).
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    import tempfile
-
-    return f"file://{tempfile.gettempdir()}/millrace-shared"
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, gives AQE sizes.
-
-    The folder is removed when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(staged: DataFrame) -> None:
-    """Remove the folder of a table that ``stage_table`` wrote and that nothing reads any more."""
-    spark = staged.sparkSession
-    for file in staged.inputFiles()[:1]:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.  Counts a staged table."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -2,9 +2,10 @@
 
 Counting: each partition counts its training tokens and token pairs; the counts travel as blocks, one a segment of the hash
 space, and each segment is added up in one task.  Filter: a pair or token counted c times is entered under each level from
-1 to 1 + floor(log2 c), in the segment of its hash; levels are probed upwards until one is missing.  The filter is
-broadcast; its size follows the number of entries up to ``max_filter_bytes``, beyond which entries share bits more closely (the
-error rate rises, nothing is left out).
+1 to 1 + floor(log2 c), in the segment of its hash; levels are probed upwards until one is missing.  The filter's size
+follows the number of entries, and the number of segments follows the text, so the error rate and the memory of a segment are
+alike at every size.  A filter of up to ``max_filter_bytes`` is broadcast.  A larger one stays in a table: each chunk of text
+sends its distinct hashes to their segments, where they are probed, and gets the levels back; scores are the same.
 
 Score: tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z in lower case, then one end.  With the counts that
 probing gives, P(w | h) = (c(h, w) + m P(w)) / (max(c(h), c(h, w)) + m) and P(w) = (c(w) + 1) / (N + V + 1); h is the token
@@ -20,9 +21,10 @@ of an unseen token.  Only the id and text columns are read.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +34,21 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, own_columns, remainder, stage_table, text_bytes
 
-SEGMENTS = 256
+#: Bytes of training text that a segment stands for, and most tasks that segments are dealt to.
+SEGMENT_BYTES = 2 << 20
+MOST_TASKS = 8192
 BLOCK_BITS = 512
 PROBES = 5
 BITS_PER_ENTRY = 12
 MAX_FILTER_BYTES = 256 << 20
 MOST_FREQUENT = 1 << 17
-FLUSH_PAIRS = 3_000_000
-FLUSH_TOKENS = 500_000
-INDEX = 400_000
+#: A frequent token of more bytes is not broadcast, so that the table has a bound.
+FREQUENT_BYTES = 64
+#: Entries that a counting task holds before it passes them on: about 150 MB with the copies that merging makes.
+FLUSH_PAIRS = 1_500_000
+WAITING_PAIRS = 750_000
+#: Tokens that a task numbers before it starts anew.
+INDEX = 250_000
 END = b""
 START_HASH = np.uint64(0x51A7C0DE51A7C0DE)
 SMOOTHING = 4.0
@@ -67,22 +75,29 @@ def token_hash(token: bytes) -> int:
     return xxhash.xxh64_intdigest(token, 7)
 
 
+class _Numbers(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key: bytes) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class Tokens:
-    """Numbers tokens in order of appearance and keeps their hashes; starts anew beyond INDEX tokens."""
+    """Numbers tokens in order of appearance and keeps their hashes; ``full`` beyond INDEX tokens, when the owner resets it."""
 
     def __init__(self):
-        self.generation = 0
         self.reset()
 
     def reset(self) -> None:
-        self.generation += 1
-        self.index: dict[bytes, int] = {END: 0}
+        self.index = _Numbers({END: 0})
         self.hashes = np.array([token_hash(END)], _U)
 
+    def full(self) -> bool:
+        return len(self.index) > INDEX
+
     def number(self, texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(all tokens, their numbers, where each text ends) of some texts."""
-        if len(self.index) > INDEX:
-            self.reset()
         words: list[bytes] = []
         ends = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -90,10 +105,9 @@ class Tokens:
                 words += text.lower().split()
             words.append(END)
             ends[i] = len(words)
-        index = self.index
-        numbers = np.array([index.setdefault(w, len(index)) for w in words], np.int64)
-        if len(index) > len(self.hashes):
-            fresh = list(index)[len(self.hashes) :]
+        numbers = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if len(self.index) > len(self.hashes):
+            fresh = list(islice(self.index, len(self.hashes), None))
             self.hashes = np.concatenate([self.hashes, np.array([token_hash(w) for w in fresh], _U)])
         return words, numbers, ends
 
@@ -105,7 +119,7 @@ class Tokens:
         return before, pair_hash(before, own)
 
 
-def _groups(column: pa.Array, most: int = 3_000_000) -> Iterator[pa.Array]:
+def _groups(column: pa.Array, most: int = 1_000_000) -> Iterator[pa.Array]:
     """Slices of a text column of about ``most`` bytes, or one row."""
     import pyarrow.compute as pc
 
@@ -117,62 +131,75 @@ def _groups(column: pa.Array, most: int = 3_000_000) -> Iterator[pa.Array]:
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
-    return (hashes >> _U(40)).astype(np.int64) % segments
+    return (hashes >> _U(20)).astype(np.int64) % segments
 
 
 COUNTS = "segment int, hashes binary, counts binary, tokens binary, token_counts binary"
 
 
 def _count_partitions(segments: int):
-    def blocks(pairs: tuple[np.ndarray, np.ndarray] | None, tokens: Counter | None) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, list] = {}
-        if pairs is not None and len(pairs[0]):
-            where = segment_of(pairs[0], segments)
-            order = np.argsort(where, kind="stable")
-            bounds = np.searchsorted(where[order], np.arange(segments + 1))
-            for s in np.flatnonzero(np.diff(bounds)):
-                own = order[bounds[s] : bounds[s + 1]]
-                rows[int(s)] = [pairs[0][own].tobytes(), pairs[1][own].astype(np.uint32).tobytes(), None, None]
-        if tokens:
-            names = sorted(tokens)
-            hashes = np.array([token_hash(t) for t in names], _U)
-            where = segment_of(hashes, segments)
-            split: dict[int, list[bytes]] = {}
-            for s, t in zip(where.tolist(), names):
-                split.setdefault(s, []).append(t)
-            for s, own in split.items():
-                rows.setdefault(s, [None] * 4)[2:] = [b" ".join(own), np.array([tokens[t] for t in own], np.int64).tobytes()]
-        for s, values in rows.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], [x.split()[0] for x in COUNTS.split(", ")])
+    names = [x.split()[0] for x in COUNTS.split(", ")]
+
+    def row(segment: int, *values: bytes | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], names)
+
+    def by_segment(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        where = segment_of(hashes, segments)
+        order = np.argsort(where, kind="stable")
+        bounds = np.searchsorted(where[order], np.arange(segments + 1))
+        for s in np.flatnonzero(np.diff(bounds)):
+            yield int(s), order[bounds[s] : bounds[s + 1]]
+
+    def pair_blocks(hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s, own in by_segment(hashes):
+            yield row(s, hashes[own].tobytes(), counts[own].astype(np.uint32).tobytes(), None, None)
+
+    def token_blocks(numbering: Tokens, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        seen = np.flatnonzero(counts)
+        spelled = list(numbering.index)
+        for s, own in by_segment(mix(numbering.hashes[seen])):
+            at = seen[own]
+            yield row(s, None, None, b" ".join([spelled[i] for i in at.tolist()]), counts[at].tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbering, tokens = Tokens(), Counter()
+        numbering, tokens = Tokens(), np.zeros(1, np.int64)
         waiting: list[np.ndarray] = []
         n = 0
         merged: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in _groups(batch.column("text")):
-                words, numbers, ends = numbering.number(text_bytes(part))
-                tokens.update(words)
-                _, pairs = numbering.pairs(numbers, ends)
-                waiting.append(pairs)
-                n += len(pairs)
-                if n >= FLUSH_PAIRS:
-                    merged.append(tuple(np.unique(np.concatenate(waiting), return_counts=True)))
+                if numbering.full():
+                    yield from token_blocks(numbering, tokens)
+                    numbering.reset()
+                    tokens = np.zeros(1, np.int64)
+                _, numbers, ends = numbering.number(text_bytes(part))
+                here = np.bincount(numbers, minlength=len(numbering.hashes))
+                here[: len(tokens)] += tokens
+                tokens = here
+                waiting.append(numbering.pairs(numbers, ends)[1])
+                n += len(waiting[-1])
+                if n >= WAITING_PAIRS:
+                    merged = [_added([*merged, _counted(waiting)])]
                     waiting, n = [], 0
-                    if sum(len(h) for h, _ in merged) >= FLUSH_PAIRS:
-                        yield from blocks(_added(merged), None)
-                        merged = []
-                if len(tokens) >= FLUSH_TOKENS:
-                    yield from blocks(None, tokens)
-                    tokens = Counter()
+                    if len(merged[0][0]) >= FLUSH_PAIRS:
+                        yield from pair_blocks(*merged.pop())
         if waiting:
-            merged.append(tuple(np.unique(np.concatenate(waiting), return_counts=True)))
-        yield from blocks(_added(merged) if merged else None, tokens)
+            merged = [_added([*merged, _counted(waiting)])]
+        if merged:
+            yield from pair_blocks(*merged[0])
+        yield from token_blocks(numbering, tokens)
 
     return count
 
 
+def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, rising, and how often each occurs."""
+    hashes = np.concatenate(parts)
+    hashes.sort()
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[first], np.diff(np.concatenate([first, [len(hashes)]]))
+
+
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of equal hashes added up."""
     if len(parts) == 1:
@@ -287,107 +314,228 @@ def _segment_bits(blocks: int):
 class Model:
     counts: DataFrame  # staged (token, n) of all training tokens
     frequent: dict[bytes, int]
-    filter: Filter
+    bits: DataFrame  # staged (segment, bits) of the filter
+    blocks: int
+    segments: int
+    n_bytes: int
     train_tokens: int
     distinct: int
     starts: int  # training documents
 
+    def filter(self) -> Filter:
+        """The whole filter in one piece, for a broadcast."""
+        width = self.blocks * BLOCK_BITS // 8
+        out = np.zeros(self.segments * width, np.uint8)
+        for row in self.bits.toLocalIterator(prefetchPartitions=False) if self.n_bytes > (64 << 20) else self.bits.collect():
+            out[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+        return Filter(out, self.blocks, self.segments)
 
-def train(docs: DataFrame, *, text_col: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES, most_frequent: int = MOST_FREQUENT, segments: int = SEGMENTS) -> Model:
+
+def train(docs: DataFrame, *, text_col: str = "text", most_frequent: int = MOST_FREQUENT, segments: int | None = None) -> Model:
     """A model from every row of ``docs``."""
     source = own_columns(docs, text=text_col)
+    if segments is None:
+        segments = max(64, (source.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SEGMENT_BYTES)
     parts = source.mapInArrow(_count_partitions(segments), COUNTS)
-    merged = stage_table(parts.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(_merge_segments, MERGED), "merged")
+    dealt = parts.repartition(min(segments, MOST_TASKS), "segment").sortWithinPartitions("segment")
+    merged = stage_table(dealt.mapInArrow(_merge_segments, MERGED), "merged")
     entries = merged.agg(F.sum("n_entries")).first()[0] or 0
-    size = min(max_filter_bytes, entries * BITS_PER_ENTRY // 8)
-    blocks = max(1, size * 8 // segments // BLOCK_BITS)
-    bits = np.zeros(segments * blocks * BLOCK_BITS // 8, np.uint8)
-    built = merged.select("segment", "hashes", "levels").mapInArrow(_segment_bits(blocks), "segment int, bits binary")
-    width = blocks * BLOCK_BITS // 8
-    for row in built.toLocalIterator(prefetchPartitions=False) if size > (64 << 20) else built.collect():
-        bits[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    blocks = max(1, -(-entries * BITS_PER_ENTRY // (segments * BLOCK_BITS)))
+    bits = stage_table(merged.select("segment", "hashes", "levels").mapInArrow(_segment_bits(blocks), "segment int, bits binary"), "filter")
     counts = stage_table(merged.select(F.explode(F.arrays_zip("tokens", "token_counts")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.token_counts").alias("n")), "counts")
     drop_table(merged)
     totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.length("token") == 0, F.col("n"))).alias("ends")).first()
     # the least count from which all tokens fit the broadcast table: counts of counts, in eighths of a power of two
     grade = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    short = counts.where(F.octet_length("token") <= FREQUENT_BYTES)
     taken, least = 0, None
-    for row in counts.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("g")).collect():
+    for row in short.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("g")).collect():
         if taken + row["k"] > most_frequent:
             break
         taken, least = taken + row["k"], row["g"]
-    frequent = {bytes(r["token"]): r["n"] for r in counts.where(grade >= least).collect()} if least is not None else {}
-    return Model(counts, frequent, Filter(bits, blocks, segments), totals["n"] or 0, totals["v"] or 0, totals["ends"] or 0)
+    frequent = {bytes(r["token"]): r["n"] for r in short.where(grade >= least).collect()} if least is not None else {}
+    return Model(counts, frequent, bits, blocks, segments, segments * blocks * BLOCK_BITS // 8, totals["n"] or 0, totals["v"] or 0, totals["ends"] or 0)
 
 
 SCORED = "n_tokens bigint, known bigint, frequent_sum double, score double, text_hash bigint, rare array<binary>, times array<bigint>"
 
 
-def _score_partitions(shared, train_tokens: int, distinct: int, starts: int, smoothing: float):
-    log_total = np.log10(train_tokens + distinct + 1.0)
+Levels = Callable[[np.ndarray], np.ndarray]
+
+
+class Scorer:
+    """Scores slices of documents; ``levels`` gives the level of each hash."""
+
+    def __init__(self, frequent: dict[bytes, int], train_tokens: int, distinct: int, starts: int, smoothing: float):
+        self.frequent, self.starts, self.smoothing = frequent, starts, smoothing
+        self.total = train_tokens + distinct + 1
+        self.numbering = Tokens()
+        self.forget()
+
+    def forget(self) -> None:
+        """Numbers tokens anew."""
+        self.numbering.reset()
+        self.unigrams, self.known, self.sums = np.zeros(0), np.zeros(0, bool), np.zeros(0)
+
+    def score(self, part: pa.RecordBatch, levels: Levels) -> pa.RecordBatch:
+        """One row per document of ``part`` (id, held_out, text): id, held_out and SCORED."""
+        texts, numbering = text_bytes(part.column("text")), self.numbering
+        if numbering.full():
+            self.forget()
+        words, numbers, ends = numbering.number(texts)
+        if len(self.unigrams) < len(numbering.hashes):
+            fresh = list(islice(numbering.index, len(self.unigrams), None))
+            exact = np.array([self.frequent.get(w, 0) for w in fresh], np.float64)
+            own = LEVEL_COUNTS[levels(mix(numbering.hashes[len(self.unigrams) :]))]
+            self.unigrams = np.concatenate([self.unigrams, own])
+            self.known = np.concatenate([self.known, exact > 0])
+            self.sums = np.concatenate([self.sums, np.log10(exact + 1)])
+        together = LEVEL_COUNTS[levels(numbering.pairs(numbers, ends)[1])]
+        own = self.unigrams[numbers]
+        context = np.concatenate([[0.0], own[:-1]])
+        begins = np.concatenate([[0], ends[:-1]])
+        context[begins] = self.starts
+        chance = (own + 1) / self.total
+        p = np.log10((together + self.smoothing * chance) / (np.maximum(context, together) + self.smoothing))
+        frequent_here = self.known[numbers]
+        counts = np.diff(np.concatenate([[0], ends]))
+        rare_at = np.flatnonzero(~frequent_here)
+        owner = np.searchsorted(ends, rare_at, side="right")
+        width = len(numbering.hashes) + 1
+        codes, first, times = np.unique(owner * width + numbers[rare_at], return_index=True, return_counts=True)
+        lists = pa.array(np.searchsorted(codes // width, np.arange(len(texts) + 1)).astype(np.int32))
+        spelled = pa.array([words[i] for i in rare_at[first].tolist()], pa.binary())
+        columns = [
+            part.column("id"),
+            part.column("held_out"),
+            pa.array(counts),
+            pa.array(np.add.reduceat(frequent_here.astype(np.int64), begins)),
+            pa.array(np.add.reduceat(self.sums[numbers], begins) - counts * np.log10(self.total)),
+            pa.array(np.add.reduceat(p, begins)),
+            pa.array(np.array([xxhash.xxh64_intdigest(t or b"") for t in texts], _U).view(np.int64)),
+            pa.ListArray.from_arrays(lists, spelled),
+            pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int64))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["id", "held_out", *(x.split()[0] for x in SCORED.split(", "))])
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    at = 0
+    for texts in _groups(batch.column("text")):
+        yield batch.slice(at, len(texts))
+        at += len(texts)
+
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored_by_broadcast(source: DataFrame, model: Model, smoothing: float, schema: str) -> DataFrame:
+    """Every task probes the whole filter."""
+    shared = source.sparkSession.sparkContext.broadcast((model.frequent, model.filter()))
+    numbers = (model.train_tokens, model.distinct, model.starts, smoothing)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, filter = shared.value
-        numbering, generation = Tokens(), 0
-        unigrams, known, sums = np.zeros(0), np.zeros(0, bool), np.zeros(0)  # of the numbered tokens
+        scorer = Scorer(frequent, *numbers)
         for batch in batches:
-            at = 0
-            for part in _groups(batch.column("text")):
-                texts = text_bytes(part)
-                words, numbers, ends = numbering.number(texts)
-                if generation != numbering.generation:
-                    unigrams, known, sums, generation = np.zeros(0), np.zeros(0, bool), np.zeros(0), numbering.generation
-                if len(unigrams) < len(numbering.hashes):
-                    fresh = list(numbering.index)[len(unigrams) :]
-                    hashes = numbering.hashes[len(unigrams) :]
-                    levels = filter.levels(mix(hashes), segment_of(hashes, filter.segments))
-                    exact = np.array([frequent.get(w, 0) for w in fresh], np.float64)
-                    unigrams = np.concatenate([unigrams, LEVEL_COUNTS[levels]])
-                    known = np.concatenate([known, exact > 0])
-                    sums = np.concatenate([sums, np.log10(exact + 1)])
-                before, pairs = numbering.pairs(numbers, ends)
-                together = LEVEL_COUNTS[filter.levels(pairs, segment_of(pairs, filter.segments))]
-                own = unigrams[numbers]
-                context = np.concatenate([[0.0], own[:-1]])
-                begins = np.concatenate([[0], ends[:-1]])
-                context[begins] = starts
-                chance = (own + 1) / (train_tokens + distinct + 1)
-                p = np.log10((together + smoothing * chance) / (np.maximum(context, together) + smoothing))
-                frequent_here = known[numbers]
-                counts = np.diff(np.concatenate([[0], ends]))
-                rare_at = np.flatnonzero(~frequent_here)
-                owner = np.searchsorted(ends, rare_at, side="right")
-                code = owner * (len(numbering.hashes) + 1) + numbers[rare_at]
-                codes, first, times = np.unique(code, return_index=True, return_counts=True)
-                offsets = np.searchsorted(codes // (len(numbering.hashes) + 1), np.arange(len(texts) + 1))
-                spelled = pa.array([words[i] for i in rare_at[first].tolist()], pa.binary())
-                lists = pa.array(offsets.astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").slice(at, len(texts)),
-                        batch.column("held_out").slice(at, len(texts)),
-                        pa.array(counts),
-                        pa.array(np.add.reduceat(frequent_here.astype(np.int64), begins)),
-                        pa.array(np.add.reduceat(sums[numbers], begins) - counts * log_total),
-                        pa.array(np.add.reduceat(p, begins)),
-                        pa.array(np.array([xxhash.xxh64_intdigest(t or b"") for t in texts], _U).view(np.int64)),
-                        pa.ListArray.from_arrays(lists, spelled),
-                        pa.ListArray.from_arrays(lists, pa.array(times.astype(np.int64))),
-                    ],
-                    ["id", "held_out", *(x.split()[0] for x in SCORED.split(", "))],
-                )
-                at += len(texts)
-
-    return score
-
-
-def score(docs: DataFrame, model: Model, held_out: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING) -> DataFrame:
+            for part in _parts(batch):
+                yield scorer.score(part, lambda hashes: filter.levels(hashes, segment_of(hashes, filter.segments)))
+
+    rows = stage_table(source.mapInArrow(run, schema), "scored")
+    shared.destroy()
+    return rows
+
+
+def _scored_by_segment(source: DataFrame, model: Model, smoothing: float, schema: str) -> DataFrame:
+    """Chunks of about a megabyte send their distinct hashes to the segments of the filter and get levels back."""
+    numbers = (model.train_tokens, model.distinct, model.starts, smoothing)
+    segments, blocks = model.segments, model.blocks
+    names = ["chunk", "segment", "data"]
+
+    def by_segment(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes by (segment, hash), and their segments."""
+        distinct = np.unique(hashes)
+        where = segment_of(distinct, segments)
+        order = np.argsort(where, kind="stable")
+        return distinct[order], where[order]
+
+    def needed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        own = Tokens()
+        _, at, ends = own.number(texts)
+        return by_segment(np.concatenate([own.pairs(at, ends)[1], mix(own.hashes)]))
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                chunk = uuid.uuid4().hex
+                hashes, where = needed(text_bytes(part.column("text")))
+                at, first = np.unique(where, return_index=True)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                data = [sink.getvalue().to_pybytes(), *(x.tobytes() for x in np.split(hashes, first[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(data)), pa.array([-1, *at.tolist()], pa.int32()), pa.array(data, pa.binary())], names)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, filter = None, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk, segment, data = (batch.column(c)[row].as_py() for c in range(3))
+                if chunk is None:
+                    now, filter = segment, Filter(np.frombuffer(data, np.uint8), blocks, 1)
+                else:
+                    hashes = np.frombuffer(data, _U)
+                    levels = filter.levels(hashes, np.zeros(len(hashes), np.int64)) if segment == now else np.zeros(len(hashes), np.int64)
+                    yield pa.RecordBatch.from_pydict({"chunk": [chunk], "segment": pa.array([segment], pa.int32()), "data": [levels.astype(np.uint8).tobytes()]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+
+        def finish(part: pa.RecordBatch, found: list[bytes]) -> pa.RecordBatch:
+            hashes, _ = needed(text_bytes(part.column("text")))
+            levels = np.frombuffer(b"".join(found), np.uint8).astype(np.int64)
+            order = np.argsort(hashes)
+            rising, levels = hashes[order], levels[order]
+            return Scorer(frequent, *numbers).score(part, lambda wanted: levels[np.searchsorted(rising, wanted)])
+
+        part, found = None, []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                segment, data = batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
+                if segment < 0:
+                    if part is not None:
+                        yield finish(part, found)
+                    part, found = pa.ipc.open_stream(data).read_next_batch(), []
+                else:
+                    found.append(data)
+        if part is not None:
+            yield finish(part, found)
+
+    block = "chunk string, segment int, data binary"
+    cut = stage_table(source.mapInArrow(chunks, block), "chunks")
+    shared = source.sparkSession.sparkContext.broadcast(model.frequent)
+    # a filter segment has no chunk, and so comes before the blocks that probe it
+    wanted = model.bits.select(F.lit(None).cast("string").alias("chunk"), "segment", F.col("bits").alias("data")).union(cut.where("segment >= 0"))
+    found = wanted.repartition(min(segments, MOST_TASKS), "segment").sortWithinPartitions("segment", F.asc_nulls_first("chunk")).mapInArrow(probe, block)
+    back = cut.where("segment < 0").union(found).repartition("chunk").sortWithinPartitions("chunk", "segment")
+    rows = stage_table(back.mapInArrow(run, schema), "scored")
+    shared.destroy()
+    drop_table(cut)
+    return rows
+
+
+def score(
+    docs: DataFrame,
+    model: Model,
+    held_out: Column | None = None,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    smoothing: float = SMOOTHING,
+    max_filter_bytes: int = MAX_FILTER_BYTES,
+) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     source = own_columns(docs, id=id_col, text=text_col).withColumn("held_out", F.lit(False) if held_out is None else held_out)
     kind = source.schema["id"].dataType.simpleString()
-    shared = source.sparkSession.sparkContext.broadcast((model.frequent, model.filter))
-    run = _score_partitions(shared, model.train_tokens, model.distinct, model.starts, smoothing)
-    rows = stage_table(source.mapInArrow(run, f"id {kind}, held_out boolean, {SCORED}"), "scored")
+    scored = _scored_by_broadcast if model.n_bytes <= max_filter_bytes else _scored_by_segment
+    rows = scored(source, model, smoothing, f"id {kind}, held_out boolean, {SCORED}")
     rare = rows.select("id", "text_hash", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("id", "text_hash", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     met = rare.join(model.counts, "token").select("id", "text_hash", (F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"), "times")
     # one row of each text, with how many rows it stands for, and the sums of its rare tokens; no row is joined by id
@@ -407,8 +555,11 @@ def score(docs: DataFrame, model: Model, held_out: Column | None = None, *, id_c
     )
 
 
-def score_held_out(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, **options) -> DataFrame:
+def score_held_out(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, max_filter_bytes: int = MAX_FILTER_BYTES, **options
+) -> DataFrame:
     """Trains on the rows whose crc32(id) mod ``modulus`` is not ``held`` and scores all."""
     out = F.coalesce(remainder(id_col, modulus) == held, F.lit(False))
     model = train(docs.where(~out), text_col=text_col, **options)
-    return score(docs, model, F.coalesce(remainder("id", modulus) == held, F.lit(False)), id_col=id_col, text_col=text_col)
+    held_out = F.coalesce(remainder("id", modulus) == held, F.lit(False))
+    return score(docs, model, held_out, id_col=id_col, text_col=text_col, max_filter_bytes=max_filter_bytes)
