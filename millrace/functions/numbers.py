@@ -64,3 +64,8 @@ def weighted_defined(weights: dict[str, float]) -> Column:
 def alignment_score(recall: Column, mrr: Column, precision: Column, loss: Column) -> Column:
     """0.45 recall + 0.25 MRR + 0.2 average precision + 0.1 exp(-loss), the loss at most 20."""
     return 0.45 * recall + 0.25 * mrr + 0.2 * precision + 0.1 * F.exp(-F.least(loss, F.lit(20.0)))
+
+
+def difficulty_bits(p: Column) -> Column:
+    """-log2 of a probability; null for 0."""
+    return F.when(p > 0, -F.log2(p))

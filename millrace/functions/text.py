@@ -109,3 +109,19 @@ def stripped_length(items: Column, padding: Column) -> Column:
     """Length of an array without empty items and without the run of ``padding`` at its end."""
     kept = F.filter(items, lambda x: x != "")
     return F.aggregate(kept, F.struct(F.lit(0).alias("n"), F.lit(0).alias("last")), lambda a, x: F.struct((a["n"] + 1).alias("n"), F.when(x == padding, a["last"]).otherwise(a["n"] + 1).alias("last")), lambda a: a["last"])
+
+
+def parse_fault_spelling(text: Column) -> Column:
+    """struct(stuck_at, net) of ``sa0 net`` or ``stuck-at-0 [at|on] net`` in any case; null otherwise."""
+    pattern = r"(?i)^\s*(?:sa|stuck[-_ ]?at[-_ ]?)([01])\s+(?:(?:at|on)\s+)?(\S+)\s*$"
+    return F.when(text.rlike(pattern), F.struct(F.regexp_extract(text, pattern, 1).cast("int").alias("stuck_at"), F.regexp_extract(text, pattern, 2).alias("net")))
+
+
+def counted(n: Column, noun: str) -> Column:
+    """``1 gate``, ``2 gates``."""
+    return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))
+
+
+def listed(items: Column) -> Column:
+    """``a, b and c``."""
+    return F.when(F.size(items) <= 1, F.array_join(items, "")).otherwise(F.concat(F.array_join(F.slice(items, 1, F.size(items) - 1), ", "), F.lit(" and "), F.element_at(items, -1)))

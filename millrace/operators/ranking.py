@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage_table
+
 
 def average_precision(df: DataFrame, group: list[str], score: str, label: str, order: list[str]) -> DataFrame:
     """Mean of cumulative precision at positives, by score down, ties by ``order``; null without positives."""
@@ -112,11 +114,49 @@ def top_k(df: DataFrame, metric: str, k: int, config: str, ties: list[str]) -> D
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(metric), *ties)))
 
 
-def retrieval(similarities: DataFrame, query: str, target: str, score: str) -> DataFrame:
-    """Recall@1, recall@5 and mean reciprocal rank where the right target has the query's own id."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), F.asc(target))
-    own = similarities.withColumn("r", F.row_number().over(w)).where(F.col(query) == F.col(target))
-    return own.agg(F.avg((F.col("r") <= 1).cast("double")).alias("recall_1"), F.avg((F.col("r") <= 5).cast("double")).alias("recall_5"), F.avg(1 / F.col("r")).alias("mrr"))
+def retrieval(queries: DataFrame, targets: DataFrame, key: str, slots: str, vector: str, block: int = 2048) -> DataFrame:
+    """One row: recall@1, recall@min(5, N) and mean reciprocal rank of N matched pairs, from queries to targets, back, and their
+    means.  A query has several vectors (``slots``), its similarity is the greatest product of one with the target's vector,
+    rounded to nine digits; equal ones are ranked by key.
+
+    All queries meet all targets, block by block: a task holds one block of each and gives, for each of their rows, how many of the
+    other block's come before its own partner.  Those counts add up to the ranks; no similarity leaves its task.
+    """
+    own_vector = targets.select(key, F.col(vector).alias("__t"))
+    dot = lambda s: F.aggregate(F.zip_with(s, "__t", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+    pairs = queries.join(own_vector, key)
+    own = pairs.select(key, "__t", F.col(slots).alias("__slots"), F.round(F.array_max(F.transform(slots, dot)), 9).alias("__own"))
+    own = stage_table(own, "retrieval")
+    n = own.count()
+    blocks = max(1, -(-n // block))
+    at = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    kind = dict(own.dtypes)[key]
+    left = own.select(key, "__slots", "__own", at.alias("__q"), F.explode(every).alias("__b"))
+    right = own.select(key, "__t", "__own", F.explode(every).alias("__q"), at.alias("__b"))
+
+    def compare(q, t):
+        import numpy as np
+        import pandas as pd
+
+        if not len(q) or not len(t):
+            return pd.DataFrame({"side": pd.Series([], dtype=str), key: pd.Series([], dtype=q[key].dtype), "above": pd.Series([], dtype="int64")})
+        other = np.stack(t["__t"].to_numpy()).astype(np.float64)
+        widest = max(map(len, q["__slots"]))
+        slot = lambda k: np.stack([np.asarray(x[min(k, len(x) - 1)], np.float64) for x in q["__slots"]])
+        scores = np.round(np.max([slot(k) @ other.T for k in range(widest)], axis=0), 9)
+        qi, ti = q[key].to_numpy(), t[key].to_numpy()
+        mine, theirs = q["__own"].to_numpy()[:, None], t["__own"].to_numpy()[None, :]
+        rows = ((scores > mine) | (scores == mine) & (ti[None, :] < qi[:, None])).sum(1)
+        columns = ((scores > theirs) | (scores == theirs) & (qi[:, None] < ti[None, :])).sum(0)
+        return pd.DataFrame({"side": ["q"] * len(qi) + ["t"] * len(ti), key: [*qi, *ti], "above": [*rows, *columns]})
+
+    counted = left.groupBy("__q", "__b").cogroup(right.groupBy("__q", "__b")).applyInPandas(compare, f"side string, {key} {kind}, above bigint")
+    ranks = counted.groupBy("side", key).agg((F.sum("above") + 1).alias("r"))
+    share = lambda side, c: F.avg(F.when(F.col("side") == side, c.cast("double")))
+    names = {"recall_1": F.col("r") <= 1, "recall_5": F.col("r") <= min(5, n), "mrr": 1 / F.col("r")}
+    out = ranks.agg(*(share(side, c).alias(f"{way}_{name}") for side, way in (("q", "forward"), ("t", "backward")) for name, c in names.items()))
+    return out.select("*", *(((F.col(f"forward_{name}") + F.col(f"backward_{name}")) / 2).alias(f"mean_{name}") for name in names))
 
 
 def coverage_bounds(df: DataFrame, circuit: str, fault: str, detected: str) -> DataFrame:

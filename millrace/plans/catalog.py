@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_queries, circuit_queries, corpus_queries, join_queries, measure_queries, outcome_queries, report_queries, stream_queries, text_queries
+from . import chat_queries, circuit_queries, corpus_queries, join_queries, measure_queries, outcome_queries, report_queries, stream_queries, text_queries, training_queries
 
-MODULES = (corpus_queries, outcome_queries, text_queries, chat_queries, circuit_queries, stream_queries, report_queries, join_queries, measure_queries)
+MODULES = (corpus_queries, outcome_queries, text_queries, chat_queries, circuit_queries, stream_queries, report_queries, join_queries, measure_queries, training_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents, keys, signals
 from ..operators import joins
+from ..sources import readers
 from .registry import Registry, table
 
 query = Registry()
@@ -156,3 +157,19 @@ def merged_settings(spark, sf_dir):
     entries = F.filter(F.map_entries(documents.merged(F.col("base"), F.col("over"))), lambda e: e["key"] != "")
     shown = F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return flat.select("o_orderkey", "stored", shown.alias("merged"))
+
+
+@query("""SELECT r_name AS parent, n_name AS child, 1 AS depth FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT n_name, 'leaf', 2 FROM nation""")
+def tree_edges(spark, sf_dir):
+    """Edges of nested JSON objects, by a table function."""
+    readers.register_tree_edges(spark)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list("n_name")), lambda n: F.concat(F.lit('"'), n, F.lit('": {"leaf": {}}'))), ", ")
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    trees = nations.groupBy("r_name").agg(names.alias("n")).select(F.concat(F.lit('{"'), "r_name", F.lit('": {'), "n", F.lit("}}")).alias("tree"))
+    return trees.lateralJoin(readers.TreeEdges(F.col("tree").outer())).select("parent", "child", "depth")
+
+
+@query("""SELECT part, i, part * 10 + i AS value FROM generate_series(0, 7) AS p(part), generate_series(0, 4) AS s(i)""")
+def generated_rows(spark, sf_dir):
+    """A generator as a source."""
+    return readers.generated(spark, lambda part: ((part, i, part * 10 + i) for i in range(5)), 8, "part bigint, i bigint, value bigint")

@@ -203,13 +203,15 @@ def bootstrap_interval(spark, sf_dir):
     return statistics.bootstrap_interval(means, "l_suppkey", "m", repeats=500, seed=7)
 
 
-@query("""WITH q AS (SELECT vec_id // 64 AS batch, vec_id, embedding FROM embeddings),
-    s AS (SELECT a.vec_id AS query, b.vec_id AS target, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM q a JOIN q b USING (batch)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, target) AS r FROM s)
-    SELECT avg((r <= 1)::INT) AS recall_1, avg((r <= 5)::INT) AS recall_5, avg(1 / r) AS mrr FROM r WHERE query = target""")
+@query("""WITH t AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT label, vec_id AS other FROM (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label)),
+    q AS (SELECT t.vec_id, list_transform(list_zip(t.e, o.e), lambda p: p[1] * 0.5 + p[2]) AS a, o.e AS b, t.e FROM t JOIN c USING (label) JOIN t o ON o.vec_id = c.other),
+    s AS (SELECT q.vec_id AS query, t.vec_id AS target, greatest(round(list_dot_product(q.a, t.e), 9), round(list_dot_product(q.b, t.e), 9)) AS s FROM q, t),
+    r AS (SELECT query, target, row_number() OVER (PARTITION BY query ORDER BY s DESC, target) AS f, row_number() OVER (PARTITION BY target ORDER BY s DESC, query) AS b FROM s), o AS (SELECT * FROM r WHERE query = target),
+    m AS (SELECT avg((f <= 1)::INT) AS forward_recall_1, avg((f <= 5)::INT) AS forward_recall_5, avg(1 / f) AS forward_mrr, avg((b <= 1)::INT) AS backward_recall_1, avg((b <= 5)::INT) AS backward_recall_5, avg(1 / b) AS backward_mrr FROM o)
+    SELECT *, (forward_recall_1 + backward_recall_1) / 2 AS mean_recall_1, (forward_recall_5 + backward_recall_5) / 2 AS mean_recall_5, (forward_mrr + backward_mrr) / 2 AS mean_mrr FROM m""")
 def batch_retrieval(spark, sf_dir):
-    """Retrieval within every evaluation batch of 64 ids: a square similarity matrix a batch is what the metric is defined on."""
-    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 64").alias("batch"), "vec_id", "embedding")
-    a, b = rows.select("batch", F.col("vec_id").alias("query"), F.col("embedding").alias("x")), rows.select("batch", F.col("vec_id").alias("target"), F.col("embedding").alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    return ranking.retrieval(a.join(b, "batch").select("query", "target", F.round(dot, 9).alias("s")), "query", "target", "s")
+    """Each item against all: a query has two vectors, one that leans to its label's first item and that item itself."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    first = rows.groupBy("label").agg(F.min_by("e", "vec_id").alias("o"))
+    queries = rows.join(first, "label").select("vec_id", F.array(F.zip_with("e", "o", lambda p, q: p * 0.5 + q), F.col("o")).alias("slots"))
+    return ranking.retrieval(queries, rows, "vec_id", "slots", "e")

@@ -32,6 +32,7 @@ def stream_windows(spark, sf_dir):
     return out.select(F.unix_seconds("start").alias("start_s"), "event_type", "n")
 
 
-@query()
+@query("""WITH r AS (SELECT event_type, user_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 50 AS w FROM events)
+    SELECT event_type, CAST(w AS INTEGER) AS window_no, CAST(count(DISTINCT user_id) AS INTEGER) AS n_distinct FROM r GROUP BY ALL HAVING count(*) = 50""")
 def stream_count_windows(spark, sf_dir):
-    return pipelines.drain(pipelines.count_windows(events(spark, sf_dir), "event_type", "user_id", 50), shared(spark))
+    return pipelines.drain(pipelines.count_windows(events(spark, sf_dir), "event_type", "user_id", 50, "event_id"), shared(spark))

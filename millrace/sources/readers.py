@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,6 +29,16 @@ def json_objects(spark: SparkSession, path: str, value: str, key: str = "key") -
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias(key, "__value")).select(key, "__value.*")
 
 
+def balanced_csv(spark: SparkSession, path: str, group: str, key: str, ratios: tuple[float, float, float] = (0.7, 0.1, 0.2), seed: int = 42) -> DataFrame:
+    """The rows of a CSV with their ``split`` by the hash of their key; groups of the training split up-sampled to one size."""
+    from ..functions.keys import hash_split
+    from ..operators.records import balance
+
+    rows = csv(spark, path).withColumn("split", hash_split(seed, F.col(key), ratios))
+    train = balance(rows.where("split = 'train'"), group, key).drop("copy")
+    return train.unionByName(rows.where("split <> 'train'"))
+
+
 def csv(spark: SparkSession, path: str, index_column: str = "Unnamed: 0") -> DataFrame:
     """A CSV with a header, without an index column; an unnamed first column is an index too."""
     return spark.read.option("header", True).option("inferSchema", True).csv(path).drop(index_column, "_c0")
@@ -104,3 +116,79 @@ class _ArrowStreamReader(DataSourceReader):
         with pa.memory_map(partition.value) as source, pa.ipc.open_stream(source) as stream:
             for batch in stream:
                 yield batch.select(self.columns)
+
+
+def generated(spark: SparkSession, make: Callable[[int], Iterable[tuple]], parts: int, schema: str) -> DataFrame:
+    """Rows of a generator: ``make`` gives those of each part, in parallel; the same number gives the same rows."""
+
+    def rows(batches):
+        import pandas as pd
+
+        names = [f.split()[0] for f in schema.split(", ")]
+        for batch in batches:
+            for part in batch["id"]:
+                yield pd.DataFrame(list(make(int(part))), columns=names)
+
+    return spark.range(0, parts, 1, parts).mapInPandas(rows, schema)
+
+
+def framed_log(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record_no, data) of binary logs in blocks of 32 KB: records under headers of checksum (4), length (2) and kind (1: whole,
+    2 to 4: first, middle and last part).  What a cut file ends with is left out; the payload is for ``from_protobuf``."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def rows(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for name, content in zip(batch["path"], batch["content"]):
+                out += [(name, i, r) for i, r in enumerate(framed_records(bytes(content)))]
+            yield pd.DataFrame(out, columns=["path", "record_no", "data"])
+
+    return files.mapInPandas(rows, "path string, record_no int, data binary")
+
+
+BLOCK, HEADER = 32768, 7
+
+
+def framed_records(content: bytes, start: int = 0) -> Iterator[bytes]:
+    """The whole records of a framed log."""
+    at, held = start, b""
+    while at + HEADER <= len(content):
+        left = BLOCK - at % BLOCK
+        if left < HEADER:
+            at += left
+            continue
+        length, kind = int.from_bytes(content[at + 4 : at + 6], "little"), content[at + 6]
+        body = content[at + HEADER : at + HEADER + length]
+        if len(body) < length or kind not in (1, 2, 3, 4):
+            return
+        at += HEADER + length
+        if kind == 1:
+            yield body
+        else:
+            held = body if kind == 2 else held + body
+            if kind == 4:
+                yield held
+
+
+def register_tree_edges(spark: SparkSession) -> None:
+    """Registers the table function ``tree_edges(json)``: (parent, child, depth) of a nested JSON object of names."""
+    spark.udtf.register("tree_edges", TreeEdges)
+
+
+@F.udtf(returnType="parent string, child string, depth int")
+class TreeEdges:
+    def eval(self, text: str):
+        import json
+
+        if text is None:
+            return
+        stack = [(None, json.loads(text), 0)]
+        while stack:
+            parent, below, depth = stack.pop()
+            for child, more in (below or {}).items():
+                if parent is not None:
+                    yield parent, child, depth
+                stack.append((child, more, depth + 1))

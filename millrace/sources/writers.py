@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,9 @@ def snapshot(df: DataFrame, path: str) -> None:
 
 
 def report(df: DataFrame, path: str, order: list) -> None:
-    """Ranked rows as JSON lines and as a flat CSV, whose nested columns are JSON text."""
+    """Ranked rows as JSON lines, as a flat CSV, whose nested columns are JSON text, and a summary: rows and columns."""
     ranked = df.orderBy(*order)
+    df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("columns", F.array(*(F.lit(c) for c in df.columns))).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
     ranked.write.mode("overwrite").json(f"{path}/rows")
     nested = {name for name, kind in df.dtypes if kind.startswith(("struct", "map", "array"))}
     flat = ranked.select(*(F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns))
@@ -42,3 +45,31 @@ def union_of_columns(parts: list[DataFrame]) -> DataFrame:
 def slots(df: DataFrame, slot_column: str, path: str) -> None:
     """One JSON line for each element of an array column, numbered from 0, with the row's other columns."""
     df.select("*", F.posexplode(slot_column).alias("slot", "outcome")).drop(slot_column).write.mode("overwrite").json(path)
+
+
+def metrics(stream: DataFrame, path: str, progress: str):
+    """A sink for metric rows of a stream: each micro-batch is appended as JSON lines; returns the running query."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        json_lines(batch.withColumn("batch", F.lit(number)), path)
+
+    return stream.writeStream.option("checkpointLocation", progress).foreachBatch(put).trigger(availableNow=True).start()
+
+
+def whole_json(df: DataFrame, path: str, exclusive: bool = False) -> None:
+    """Rows as JSON in one folder that appears whole: written beside it under another name and renamed.  exclusive: an error if
+    it exists, else it is replaced."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    final, beside = hadoop(path), hadoop(f"{path}.{uuid.uuid4().hex}.tmp")
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    if exclusive and files.exists(final):
+        raise FileExistsError(path)
+    df.write.json(beside.toString())
+    if files.exists(final):
+        if exclusive:
+            files.delete(beside, True)
+            raise FileExistsError(path)
+        files.delete(final, True)
+    if not files.rename(beside, final):
+        raise OSError(f"{path} was not renamed")

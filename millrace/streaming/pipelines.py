@@ -28,9 +28,9 @@ def event_windows(stream: DataFrame, time: str, width: str, keys: list[str], lat
     return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
-def count_windows(stream: DataFrame, key: str, label: str, width: int) -> DataFrame:
-    """(key, window_no, n_distinct): distinct labels of each run of ``width`` rows of a key, a begun run carried over to the
-    next batch.  State is at most one run a key."""
+def count_windows(stream: DataFrame, key: str, label: str, width: int, order: str) -> DataFrame:
+    """(key, window_no, n_distinct): distinct labels of each run of ``width`` rows of a key, by ``order`` within a batch, a begun run
+    carried over to the next batch.  State is at most one run a key; a key's rows of one batch are ordered together."""
     kind = dict(stream.dtypes)[key]
 
     def runs(group: tuple, frames: Iterator, state: GroupState) -> Iterator:
@@ -38,12 +38,11 @@ def count_windows(stream: DataFrame, key: str, label: str, width: int) -> DataFr
 
         number, held = state.get if state.exists else (0, [])
         held, out = list(held), []
-        for frame in frames:
-            for value in frame[label].astype(str):
-                held.append(value)
-                if len(held) == width:
-                    out.append((group[0], number, len(set(held))))
-                    number, held = number + 1, []
+        for value in pd.concat([f[[order, label]] for f in frames]).sort_values(order, kind="stable")[label].astype(str):
+            held.append(value)
+            if len(held) == width:
+                out.append((group[0], number, len(set(held))))
+                number, held = number + 1, []
         state.update((number, held))
         yield pd.DataFrame(out, columns=[key, "window_no", "n_distinct"])
 
@@ -52,11 +51,11 @@ def count_windows(stream: DataFrame, key: str, label: str, width: int) -> DataFr
     )
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, folder: str, mode: str = "append", name: str | None = None) -> DataFrame:
     """Runs a stream over all that is there, then stops, and reads the result back.  ``folder`` is a shared one: it holds the
-    output and the progress, from which a stopped run goes on."""
+    output and the progress.  A run of the same name goes on where the last one stopped: it skips what that has consumed."""
     spark = stream.sparkSession
-    at = f"{folder}/{uuid.uuid4().hex}"
+    at = f"{folder}/{name or uuid.uuid4().hex}"
     if mode == "append":
         query = stream.writeStream.option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).format("parquet").start(f"{at}/rows")
     else:  # a complete or updated result: each batch replaces the one before
