@@ -3,10 +3,10 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains, and the longest that fits decides.  The trees
 (logistic loss, histogram splits, shallow) are trained from labelled URLs: length, depth, digit ratio, entropy, parameter
 counts and the like, and for the host's last label and last two labels how many labelled URLs have them and which share
-of those is good.  Suffix statistics live in a hashed table of SLOTS rows, so they stay bounded however many suffixes there are; a
-training row's own label is left out of its suffixes' shares.
+of those is good.  Suffix statistics live in a hashed table with four slots and more for each suffix that the training rows have, so
+they grow with the suffixes and are bounded by the rows; a training row's own label is left out of its suffixes' shares.
 
-Training takes at most ``max_fit_rows`` labelled URLs, chosen by hash.  Null labels are no training rows; repeated ones count
+Training takes at most ``max_fit_rows`` labelled URLs, the first by hash, URL and label, so that reruns agree.  Null labels are no training rows; repeated ones count
 as often as they occur.  A null URL, or one without ``://``, has an empty host and path, fits no rule, and is judged by its
 features like any other (a null as an empty text).  Without labels of both kinds the method's score is the share of good
 ones (1 without any).  Only the named columns are read; each row gets a result.  Empty tables give empty results.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import own_columns
 
-SLOTS = 4096
+LEAST_SLOTS = 4096
 MAX_FIT_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 N_FEATURES = 18
@@ -70,12 +70,12 @@ def fitting_rule(host: Column, path: Column, rules: list[UrlRule]) -> Column:
     return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
-def _slot(text: str) -> int:
-    return xxhash.xxh32_intdigest(text, 5) % SLOTS
+def _hash(text: str) -> int:
+    return xxhash.xxh32_intdigest(text, 5)
 
 
 def lexical(url: str | None) -> tuple[list[float], int, int]:
-    """(features, slot of the host's last label, slot of its last two) of a URL."""
+    """(features, hash of the host's last label, hash of its last two) of a URL."""
     url = url or ""
     scheme, found, rest = url.partition("://")
     if not found:
@@ -95,7 +95,7 @@ def lexical(url: str | None) -> tuple[list[float], int, int]:
         float(-(shares * np.log2(shares)).sum()), len(params), sum("=" in p for p in params), host.count("-"), len(longest),
         sum(not c.isalnum() for c in url) / n, float(scheme == "https"), float("%" in url), float("#" in url), float("." in path.rpartition("/")[2]),
     ]
-    return features, _slot(labels[-1]), _slot(".".join(labels[-2:]))
+    return features, _hash(labels[-1]), _hash(".".join(labels[-2:]))
 
 
 @dataclass
@@ -175,7 +175,7 @@ class UrlModel:
         out = np.zeros((len(urls), N_FEATURES + 4))
         out[:, :N_FEATURES] = np.array([p[0] for p in parts]).reshape(-1, N_FEATURES)
         for k in (1, 2):
-            slots = np.array([p[k] for p in parts], np.int64)
+            slots = np.array([p[k] for p in parts], np.int64) % self.seen.shape[1]
             seen, good = self.seen[k - 1][slots], self.good[k - 1][slots]
             if own is not None:
                 seen, good = seen - 1, good - own
@@ -205,14 +205,17 @@ def fit(labelled: DataFrame, *, url_col: str = "url", label_col: str = "label",
     n = known.count()
     if n > max_fit_rows:
         known = known.where(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1_000_000)) < int(1e6 * max_fit_rows / n))
-    # fixed order, so that sums, and with them splits, are the same in each run
-    table = known.select("url", F.col("label").cast("double").alias("label")).limit(2 * max_fit_rows).toArrow().sort_by([("url", "ascending"), ("label", "ascending")])
+    # fixed rows in a fixed order, so that sums, and with them splits, are the same in each run
+    known = known.select("url", F.col("label").cast("double").alias("label"))
+    table = known.orderBy(F.xxhash64("url", F.lit(3)), "url", "label").limit(max_fit_rows).toArrow().sort_by([("url", "ascending"), ("label", "ascending")])
     urls, y = table.column("url").to_pylist(), table.column("label").to_numpy()
     if not len(y) or y.min() == y.max():
-        return UrlModel(np.zeros((2, SLOTS)), np.zeros((2, SLOTS)), float(y.mean()) if len(y) else 1.0, None)
+        return UrlModel(np.zeros((2, 1)), np.zeros((2, 1)), float(y.mean()) if len(y) else 1.0, None)
     parts = [lexical(u) for u in urls]
-    slots = [np.array([p[k] for p in parts]) for k in (1, 2)]
-    model = UrlModel(np.array([np.bincount(s, minlength=SLOTS) for s in slots], float), np.array([np.bincount(s, y, SLOTS) for s in slots]), float(y.mean()), None)
+    hashes = [np.array([p[k] for p in parts], np.int64) for k in (1, 2)]
+    size = max(LEAST_SLOTS, 1 << (4 * max(len(np.unique(h)) for h in hashes)).bit_length())
+    slots = [h % size for h in hashes]
+    model = UrlModel(np.array([np.bincount(s, minlength=size) for s in slots], float), np.array([np.bincount(s, y, size) for s in slots]), float(y.mean()), None)
     model.trees = boost(model.matrix(urls, y), y, **options)
     return model
 
