@@ -30,6 +30,10 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, OTHER, " "))
 
 
+#: Notices up to which they are a literal in the plan.
+MAP_NOTICES = 2_000
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
@@ -50,15 +54,19 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lic
     lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike("licen[cs]e"))
     own = stage_table(rows.select("id", digest(F.col("text")).alias("digest"), F.coalesce(F.transform(lines, lambda x: F.sha2(_canonical_line(x), 256)), F.array().cast("array<string>")).alias("lines")), "digests")
     named = own.join(broadcast_if_small(licenses), "digest", "left")
-    # notices: the known digests, a bounded table, as a map literal when small; otherwise a join of exploded lines
-    table = {r["digest"]: r["license"] for r in notices.limit(2_001).collect()}
-    if len(table) > 2_000:
-        raise ValueError("more than 2000 notices: look lines up with scan_lines")
+    # a small table of notices is a map literal; a larger one meets the distinct lists of lines in a join
+    table = {r["digest"]: r["license"] for r in notices.limit(MAP_NOTICES + 1).collect()}
     if not table:
         found = F.array().cast("array<string>")
-    else:
+    elif len(table) <= MAP_NOTICES:
         names = F.create_map(*(F.lit(x) for pair in sorted(table.items()) for x in pair))
         found = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: names[x]), lambda x: x.isNotNull())))
+    else:
+        key = F.sha2(F.concat_ws(",", "lines"), 256)
+        each = own.where(F.size("lines") > 0).select(key.alias("__key"), "lines").dropDuplicates(["__key"]).select("__key", F.explode("lines").alias("digest"))
+        hits = each.join(notices, "digest").groupBy("__key").agg(F.array_sort(F.collect_set("license")).alias("__found"))
+        named = named.withColumn("__own_key", key).join(hits, F.col("__own_key") == F.col("__key"), "left")
+        found = F.coalesce("__found", F.array().cast("array<string>"))
     return named.select(F.col("id").alias(id_col), "digest", "license", found.alias("notices"))
 
 
