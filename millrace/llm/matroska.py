@@ -190,6 +190,9 @@ def parse(data: bytes) -> Parsed:
         at, lacing = at + 3, flags >> 1 & 3
         sizes, at = lace_sizes(data, at, end, lacing) if lacing else ([end - at], at)
         step = out.tracks.get(track, {}).get("frame_ns", 0)
+        first = (time + relative) * out.scale
+        if track >= 1 << 31 or not -(1 << 63) <= first <= first + step * len(sizes) < 1 << 63:
+            raise Malformed("a track number or a time out of range")
         for i, n in enumerate(sizes):
             out.packets.append((track, (time + relative) * out.scale + i * step, bool(flags & 0x80) if key is None else key, at, n, len(out.clusters) - 1, lacing))
             at += n
@@ -250,7 +253,8 @@ def features(parsed: Parsed, samples: bytes) -> str:
     """Counts of packets, keys, clusters, cues that hit a cluster, lacing; last timestamp; mean and power of the samples."""
     x = np.frombuffer(samples, np.uint8).astype(np.int64)
     n = max(1, len(x))
-    hits = sum(c in set(parsed.clusters) for *_, c in parsed.cues)
+    clusters = set(parsed.clusters)
+    hits = sum(c in clusters for *_, c in parsed.cues)
     lacings = "/".join(str(sum(p[6] == k for p in parsed.packets)) for k in range(4))
     return (
         f"packets={len(parsed.packets)};keys={sum(p[2] for p in parsed.packets)};clusters={len(parsed.clusters)};cues={hits};lacing={lacings};"
