@@ -69,7 +69,7 @@ def duals(sizes: DataFrame, goals: list[tuple], most_copies: float, iterations:
         if target >= most_copies * words * (1 - 1e-12):
             found[s] = math.inf
         else:
-            open_goals[s] = [0.0, -math.inf, math.inf, target, words / docs]
+            open_goals[s] = [0.0, -math.inf, math.inf, target, words / docs, math.inf]
     for _ in range(iterations):
         if not open_goals:
             break
@@ -87,7 +87,7 @@ def duals(sizes: DataFrame, goals: list[tuple], most_copies: float, iterations:
         )
         for row in sums:
             x = open_goals[row["s"]]
-            gap = row["words"] - x[3]
+            gap = x[5] = row["words"] - x[3]
             if abs(gap) <= tolerance * max(1.0, x[3]):
                 found[row["s"]] = open_goals.pop(row["s"])[0]
                 continue
@@ -97,6 +97,9 @@ def duals(sizes: DataFrame, goals: list[tuple], most_copies: float, iterations:
             if not (low < step < high) or abs(step) > 1e6:
                 step = (low + high) / 2 if math.isfinite(low + high) else (2 * x[0] + 1 if gap < 0 else 2 * x[0] - 1)
             x[0] = step
+    # a bracket at the limit of floating point is as near as it gets
+    if far := [s for s, x in open_goals.items() if abs(x[5]) > 1e-4 * max(1.0, x[3]) and x[2] - x[1] > 1e-9 * max(1.0, abs(x[0]))]:
+        raise RuntimeError(f"no rates meet the targets of {len(far)} sources after {iterations} iterations")
     return found | {s: x[0] for s, x in open_goals.items()}
 
 
