@@ -61,9 +61,14 @@ def assignment(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
+    """Runs of n words, joined by a space: the words beside themselves, one further on each time."""
+
     def joined(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - (n - 1))
-        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        k = F.size(w) - (n - 1)
+        out = F.slice(w, 1, F.greatest(k, F.lit(0)))
+        for i in range(1, n):
+            out = F.zip_with(out, F.slice(w, i + 1, F.greatest(k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when(k > 0, out).otherwise(F.array().cast("array<string>"))
 
     return let(words, joined)
 

@@ -142,3 +142,16 @@ def skip_counter(text: Column, name: str = "cumulative_skip_buffer_size") -> Col
     """The counter in a saved JSON summary, at least 0; null where there is none."""
     value = F.get_json_object(text, f"$.{name}").try_cast("long")
     return F.when(value.isNotNull(), F.greatest(F.lit(0).cast("long"), value))
+
+
+def histogram(df: DataFrame, value: str) -> DataFrame:
+    """(bin, n, k, mean, median, std, p95): rows in equal bins, min(50, max(10, half the distinct values)), beside the statistics of all."""
+    q = lambda p: F.round(F.percentile(value, F.lit(p)), 2)
+    totals = df.agg(
+        F.count(value).alias("k"), F.round(F.avg(value), 2).alias("mean"), q(0.5).alias("median"), F.round(F.stddev_pop(value), 2).alias("std"), q(0.95).alias("p95"),
+        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.countDistinct(value).alias("__d"),
+    )
+    totals = totals.withColumn("__bins", F.least(F.lit(50), F.greatest(F.lit(10), F.floor(F.col("__d") / 2)))).drop("__d")
+    place = F.floor((F.col(value) - F.col("__lo")) * F.col("__bins") / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1)))
+    binned = df.crossJoin(F.broadcast(totals)).withColumn("bin", F.least(F.col("__bins") - 1, place).cast("long"))
+    return binned.groupBy("bin", "k", "mean", "median", "std", "p95").agg(F.count(F.lit(1)).alias("n"))

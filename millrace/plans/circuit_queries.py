@@ -96,6 +96,18 @@ def netlist_depths(spark, sf_dir):
     return found.select("design", "node", "forward", "forward_share")
 
 
+@query(f"""WITH RECURSIVE {GATES}, r AS (SELECT DISTINCT d, n, 0::BIGINT AS k, []::BIGINT[] AS f FROM g UNION ALL
+        SELECT r.d, r.n, g.k, list_append(f, 1 + greatest(CASE WHEN x > 0 THEN f[x] ELSE 0 END, CASE WHEN z > 0 THEN f[z] ELSE 0 END)) FROM r JOIN g ON g.d = r.d AND g.k = r.k + 1),
+    e AS (SELECT * FROM r WHERE k = n), p AS (SELECT d, x AS net FROM g UNION ALL SELECT d, z FROM g UNION ALL SELECT DISTINCT d, n FROM g), c AS (SELECT d, net, count(*) AS k FROM p GROUP BY ALL),
+    nets AS (SELECT d, n, f, unnest(generate_series(-4, n)) AS net FROM e)
+    SELECT nets.d::VARCHAR AS design, {NAME.format('nets.net')} AS net, CASE WHEN nets.net < 0 THEN 'primary_input' WHEN nets.net = 0 THEN 'primary_output' ELSE 'internal' END AS location, CAST(n + 1 AS INTEGER) AS gate_count, CAST(f[n] + 1 AS INTEGER) AS circuit_depth,
+        CAST(CASE WHEN nets.net < 0 THEN 0 WHEN nets.net = 0 THEN f[n] + 1 ELSE f[nets.net] END AS INTEGER) AS site_depth, CAST(coalesce(c.k, 0) AS INTEGER) AS fanout, 16::BIGINT AS trials FROM nets LEFT JOIN c ON c.d = nets.d AND c.net = nets.net""")
+def site_structure(spark, sf_dir):
+    """Where each net stands in its circuit."""
+    found = circuit.testability(designs(spark, sf_dir)).where("stuck_at = 0")
+    return found.select("design", "net", "location", "gate_count", "circuit_depth", "site_depth", "fanout", "trials")
+
+
 def _problems(spark, sf_dir):
     """One fault and one vector a design: net w1 or the last input, the vector and the polarity by the customer's number."""
     d = F.col("design")

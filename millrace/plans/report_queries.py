@@ -13,6 +13,8 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 WORDS = r"len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))"
+#: Seeds that a configuration is confirmed with, at most.
+MOST_SEEDS = 1000
 LIMITS = [64 * 2**i for i in range(8)]
 
 
@@ -44,8 +46,10 @@ def positional_split(spark, sf_dir):
 def missing_pairs(spark, sf_dir):
     """Confirmations still to run: every configuration with each of the few seeds, less what exists."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("priority")).distinct()
-    seeds = F.array_sort(F.collect_set("priority"))
-    wanted = table(spark, sf_dir, "customer").select("c_custkey").crossJoin(F.broadcast(orders.agg(seeds.alias("s")))).select("c_custkey", F.explode("s").alias("priority"))
+    seeds = [r["priority"] for r in orders.select("priority").distinct().orderBy("priority").limit(MOST_SEEDS + 1).collect()]
+    if len(seeds) > MOST_SEEDS:
+        raise ValueError(f"more than {MOST_SEEDS} seeds")
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*(F.lit(s) for s in seeds))).alias("priority"))
     return wanted.join(orders, ["c_custkey", "priority"], "left_anti")
 
 

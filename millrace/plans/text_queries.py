@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, numbers, text
+from ..operators import statistics
 from .registry import Registry, table
 
 query = Registry()
@@ -18,7 +19,7 @@ WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
     SELECT source, count(*) AS n_grams, count(DISTINCT g) AS n_distinct, count(DISTINCT g) / count(*) AS distinct_2 FROM g GROUP BY source""")
 def distinct_n(spark, sf_dir):
     grams = table(spark, sf_dir, "documents").select("source", F.explode(text.ngrams(text.tokens(F.col("text")), 2)).alias("g"))
-    counts = grams.groupBy("source", F.xxhash64("g").alias("h"), "g").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum("n").alias("n_grams"), F.count("*").alias("n_distinct"))
+    counts = grams.groupBy("source", "g").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum("n").alias("n_grams"), F.count("*").alias("n_distinct"))
     return counts.withColumn("distinct_2", F.col("n_distinct") / F.col("n_grams"))
 
 
@@ -27,6 +28,15 @@ def repetition_rate(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.avg(text.repetition(text.tokens(F.col("text")))).alias("repetition"))
 
 
+@query(f"""WITH n AS (SELECT len({WORDS}) AS n FROM documents), s AS (SELECT count(*) AS k, avg(n) AS mean, quantile_cont(n, 0.5) AS median, stddev_pop(n) AS std, min(n) AS lo, max(n) AS hi, quantile_cont(n, 0.95) AS p95, count(DISTINCT n) AS d FROM n),
+    b AS (SELECT *, least(50, greatest(10, d // 2)) AS bins FROM s), h AS (SELECT least(bins - 1, CAST(floor((n - lo) * bins / greatest(hi - lo, 1)) AS BIGINT)) AS bin, count(*) AS n FROM n, b GROUP BY 1)
+    SELECT bin, h.n, k, round(mean, 2) AS mean, round(median, 2) AS median, round(std, 2) AS std, round(p95, 2) AS p95 FROM h, b""")
+def length_histogram(spark, sf_dir):
+    """Lengths in equal bins, as many as half the distinct lengths, from 10 to 50, beside their statistics."""
+    lengths = table(spark, sf_dir, "documents").select(text.token_count(F.col("text")).alias("n"))
+    return statistics.histogram(lengths, "n")
+
+
 @query(r"""SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS token FROM documents) GROUP BY token HAVING count(*) >= 20""")
 def token_vocabulary(spark, sf_dir):
     found = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("token"))

@@ -83,10 +83,10 @@ def test_chat_dialects(spark):
     xml = "<tool_call><function=sim><parameter=a>\n[1, 2]\n</parameter><parameter=b> x\"y </parameter></function></tool_call>"
     chatml = f"<|im_start|>system\nBe good.\n\n# Tools\n\nmany<|im_end|>\n<|im_start|>user\n hi <|im_end|>\n<|im_start|>assistant\nok {call}{xml}<|im_end|>\n<|im_start|>user\n<tool_response>\n r1 \n</tool_response><tool_response>r2</tool_response><|im_end|>\n<|im_start|>assistant\n"
     got = one(spark, chat.messages(F.col("t")), t=chatml)
-    assert [(m["role"], m["content"]) for m in got] == [("system", "Be good."), ("user", "hi"), ("assistant", "ok"), ("tool", "r1"), ("tool", "r2"), ("assistant", None)]
+    assert [(m["role"], m["content"]) for m in got] == [("system", "Be good."), ("user", "hi"), ("assistant", "ok"), ("tool", "r1"), ("tool", "r2")]
     assert [(c["name"], c["arguments"]) for c in got[2]["tool_calls"]] == [("sim", '{"a": 1}'), ("sim", '{"a":[1, 2],"b":"x\\"y"}')]
     closed = one(spark, chat.messages(chat.without_opening(F.col("t"))), t=chatml)
-    assert len(closed) == 5
+    assert closed == got
     llama = "<<SYS>>\nrules\n<</SYS>>\n\n[INST] q1 [/INST] a1 [INST] q2 [/INST]"
     assert [(m["role"], m["content"]) for m in one(spark, chat.messages(F.col("t")), t=llama)] == [("system", "rules"), ("user", "q1"), ("assistant", "a1"), ("user", "q2")]
     wide = "sys <｜User｜ hi <｜Assistant｜ yo <｜end▁of▁sentence｜"
