@@ -4,10 +4,13 @@ Texts are cut into marked words (a run of word marks and what follows up to the
 distinct words of a batch are sorted, which lays their trie out depth-first: each word keeps the forward states of the
 prefix that it shares with the word before and computes only the rest.
 
-A unigram model's state at a prefix is its best score and last piece (Viterbi).  A BPE model's answer is not the one of
-best summed score, so there the state is the last piece of the prefix's own encoding: piece p may follow the state's last
-piece q exactly if the merges leave the text q + p as the pair (q, p), and one piece alone fits at each prefix.  Either
-way the result is what the model's own merges or scores give, which tests hold against the library.
+Both kinds of model go through the same Viterbi trellis: a state a prefix, with the last piece of the best path to it; the path
+back from a word's end is its encoding, and a shared prefix's states are those of every word that has it.  They differ in
+what best means.  A unigram model adds up scores.  A BPE model orders paths by its merges, not by a sum: a path is the
+encoding exactly if no merge would have joined or crossed two of its neighbours first, that is if the merges leave the text
+q + p of each pair of neighbours as (q, p).  Every other path scores minus infinity, so one path survives at each prefix, and
+the step tests pairs where a unigram model's step compares sums.  Either way the result is what the model's own merges or
+scores give, which tests hold against the library.
 
 Null and empty texts have no tokens.  Long texts are encoded whole; words of any length stream through the same states.
 Known words are kept from batch to batch up to ``CACHE`` words and then anew.  Decoding undoes the marks; unknown
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import own_columns
 
 MARK = "▁"
-CACHE = 800_000
-PAIRS = 1_000_000
+CACHE = 400_000
+PAIRS = 400_000
 CHARS = 1 << 24  # above every piece id
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -269,7 +272,7 @@ def decode_tokens(pieces: list[bytes], tokens: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, int]]:
