@@ -39,11 +39,11 @@ def numeric_bin(value: Column, edges: list[int]) -> Column:
 
 
 def probability_bin(p: Column) -> Column:
-    """``unknown``, ``0`` or the half-open class of p."""
+    """``unknown``, ``0`` or the half-open class of p, like ``(0.0625,0.25]``."""
     out = F.when(p.isNull(), "unknown").when(p == 0, "0")
     low = "0"
-    for name, edge in (("1/256", 1 / 256), ("1/16", 1 / 16), ("1/4", 1 / 4), ("1/2", 1 / 2), ("1", 1.0)):
-        out = out.when(p <= edge, f"({low},{name}]")
+    for name in ("0.00390625", "0.0625", "0.25", "0.5", "1"):
+        out = out.when(p <= float(name), f"({low},{name}]")
         low = name
     return out.otherwise("unknown")
 

@@ -128,5 +128,7 @@ def counted(n: Column, noun: str) -> Column:
 
 
 def listed(items: Column) -> Column:
-    """``a, b and c``."""
-    return F.when(F.size(items) <= 1, F.array_join(items, "")).otherwise(F.concat(F.array_join(F.slice(items, 1, F.size(items) - 1), ", "), F.lit(" and "), F.element_at(items, -1)))
+    """``a``, ``a and b``, ``a, b, and c``."""
+    last = F.element_at(items, -1)
+    several = F.concat(F.array_join(F.slice(items, 1, F.size(items) - 1), ", "), F.lit(", and "), last)
+    return F.when(F.size(items) <= 1, F.array_join(items, "")).when(F.size(items) == 2, F.array_join(items, " and ")).otherwise(several)

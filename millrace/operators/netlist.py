@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.chat import filled
 from ..functions.signals import base_cell, drive_class, drive_value, family, input_class
+from ..functions.text import listed
 from ..sources.staging import stage_table
 
 # Cells with the Boolean expression of each output over their input pins.
@@ -157,3 +159,25 @@ def topological_levels(links: DataFrame, most: int = 10_000) -> DataFrame:
         done = done.union(free)
         waiting = stage_table(waiting.join(free, "node", "left_anti"), "waiting")
     raise ValueError("a cycle, or a deeper graph than that")
+
+
+# The sentences of a description.
+INTERFACE = "This combinational ASAP7 standard-cell netlist exposes {n_in} primary input bits ({inputs}) and {n_out} primary output bits ({outputs})."
+IMPLEMENTATION = " The implementation uses {n_gates} cells, dominated by {mix}; the longest combinational path traverses {depth} levels of logic."
+
+
+def descriptions(pins: DataFrame, cells: DataFrame, declared: DataFrame, design: str = "design", most: int = 8) -> DataFrame:
+    """(design, description): the interface and the implementation of each design in two sentences; ports and cells beyond ``most`` and
+    five are only counted."""
+    names = lambda direction: F.array_sort(F.collect_list(F.when(F.col("direction") == direction, F.col("net"))))
+    sides = declared.groupBy(design).agg(names("input").alias("i"), names("output").alias("o"))
+    shown = lambda c: F.when(F.size(c) <= most, listed(F.col(c))).otherwise(F.concat(listed(F.slice(c, 1, most)), F.lit(", ... (+"), (F.size(c) - most).cast("string"), F.lit(" more)")))
+    gates_of = pins.select(design, "idx", "cell").distinct()
+    counts = gates_of.groupBy(design, base_cell(F.col("cell")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    mixed = counts.groupBy(design).agg(F.sum("n").alias("n_gates"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "cell"))).alias("m"))
+    share = lambda e: F.concat(e["cell"], F.lit(" ("), F.format_string("%.1f", F.round(-100.0 * e["k"] / F.col("n_gates"), 1)), F.lit("%)"))
+    mixed = mixed.select(design, "n_gates", F.array_join(F.transform(F.slice("m", 1, 5), share), ", ").alias("mix"))
+    longest = depths(edges(pins, cells, design), design).groupBy(design).agg((F.max("forward") + 1).alias("depth"))
+    rows = sides.join(mixed, design).join(longest, design, "left")
+    values = {"n_in": F.size("i"), "inputs": shown("i"), "n_out": F.size("o"), "outputs": shown("o"), "n_gates": F.col("n_gates"), "mix": F.col("mix"), "depth": F.coalesce("depth", F.lit(1))}
+    return rows.select(design, filled(F.lit(INTERFACE + IMPLEMENTATION), values).alias("description"))

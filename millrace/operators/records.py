@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import seeded_order
+from ..functions.keys import seeded_order, unit_interval
 from ..sources.staging import stage_table
 
 
@@ -41,6 +43,19 @@ def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> Data
     return own.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before")
 
 
+def running_sum(df: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
+    """The sum of a column up to each row, without gathering the rows: sums within range partitions, and those before each."""
+    own, _ = _numbered(df, order, "running")
+    spark, before, total = df.sparkSession, [], 0
+    for r in own.groupBy("__part").agg(F.sum(value).alias("s")).orderBy("__part").collect():
+        before.append((r["__part"], total))
+        total += r["s"] or 0
+    kind = own.agg(F.sum(value).alias("s")).schema["s"].dataType.simpleString()
+    table = F.broadcast(spark.createDataFrame(before or [(0, 0)], f"__part int, __before {kind}"))
+    within = F.sum(F.coalesce(F.col(value), F.lit(0))).over(Window.partitionBy("__part").orderBy("__own"))
+    return own.join(table, "__part").withColumn(name, F.col("__before") + within).drop("__part", "__own", "__before")
+
+
 def group_ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
     """Rank from 1 within each group, a group of any size: global ranks by group and order, less those before the group."""
     everywhere = ranked(df, [*group, *order], "__global")
@@ -56,9 +71,9 @@ def skip_take(df: DataFrame, order: list[Column | str], skip: int, take: int) ->
     return out.limit(take) if take else out
 
 
-def seeded_sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
-    """A uniform sample of n rows, the same in each run: the n least seeded digests.  n < 0: all."""
-    out = df.withColumn("__draw", seeded_order(seed, F.col(key)))
+def seeded_sample(df: DataFrame, key: str, seed: int, n: int, eligible: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """A uniform sample of n rows, the same in each run: the n least seeded digests.  n < 0: all.  eligible: what may be drawn."""
+    out = (df.transform(eligible) if eligible else df).withColumn("__draw", seeded_order(seed, F.col(key)))
     return (out if n < 0 else out.orderBy("__draw", key).limit(n)).drop("__draw")
 
 
@@ -136,3 +151,10 @@ def fill_slots(expected: DataFrame, saved: DataFrame, keys: list[str], n: int, s
     """Every expected (keys, slot 0 to n - 1) with what was saved for it; ``missing`` where nothing was."""
     full = expected.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(slot))
     return full.join(saved.withColumn("__saved", F.lit(True)), [*keys, slot], "left").withColumn("missing", F.col("__saved").isNull()).drop("__saved")
+
+
+def buffered_shuffle(df: DataFrame, order: list[Column | str], key: str, seed: int, buffer: int, name: str = "position") -> DataFrame:
+    """The order of a stream shuffled through a buffer: a row leaves at most ``buffer`` places after it came, by its seeded draw."""
+    came = ranked(df, order, "__came")
+    leaves = came.withColumn("__leaves", F.col("__came") + F.floor(unit_interval(seed, F.col(key)) * buffer))
+    return ranked(leaves, ["__leaves", "__came"], name).drop("__leaves", "__came")

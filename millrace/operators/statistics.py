@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import unit_interval
-from ..functions.numbers import pass_at_k
+from ..functions.numbers import numeric_bin, pass_at_k, probability_bin
+from ..functions.signals import difficulty_class
 from .records import ranked
 
 
@@ -48,16 +49,42 @@ def top_shares(df: DataFrame, key: str, tops: tuple[int, ...] = (1, 3, 10)) -> D
     return totals.crossJoin(shares).crossJoin(middle).select("n_keys", "n_rows", "middle_count", *((F.col(f"s{t}") / F.col("n_rows")).alias(f"top{t}_share") for t in tops))
 
 
-def group_diagnostics(df: DataFrame, group: str, score: str) -> DataFrame:
-    """Of groups of scores in [0, 1]: shares with equal scores, all failing, all passing, solved; mean spread."""
-    g = df.groupBy(group).agg(F.min(score).alias("lo"), F.max(score).alias("hi"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("sd"))
+def group_diagnostics(df: DataFrame, group: str, score: str, detected: str, graded: list[str]) -> DataFrame:
+    """Of groups of scored rows: shares with one score, all failing, all passing, solved; detections, spread; and of the all-failing
+    groups the share in which a graded component still differs.  Null and not-a-number count as 0."""
+    clean = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    hit = F.when(clean(detected) >= 1, 1.0).otherwise(0.0)
+    spread = lambda c: F.max(clean(c)) - F.min(clean(c))
+    varies = F.lit(False)
+    for c in graded:
+        varies = varies | (spread(c) > 1e-8)
+    g = df.groupBy(group).agg(spread(score).alias("range"), F.stddev_pop(clean(score)).alias("sd"), F.sum(hit).alias("hits"), F.count(F.lit(1)).alias("n"), varies.alias("varies"))
     share = lambda c: F.avg(c.cast("double"))
+    fail = F.col("hits") == 0
     return g.agg(
-        F.count(F.lit(1)).alias("n_groups"), share(F.col("lo") == F.col("hi")).alias("degenerate"), share(F.col("hi") == 0).alias("all_fail"), share(F.col("lo") == 1).alias("all_pass"),
-        share(F.col("hi") == 1).alias("solved"), F.avg("mean").alias("pass_at_1"), F.avg("sd").alias("mean_std"), F.avg(F.col("hi") - F.col("lo")).alias("mean_range"),
+        F.count(F.lit(1)).alias("n_groups"), share(F.col("range") <= 1e-8).alias("degenerate"), share(fail).alias("all_fail"), share(F.col("hits") == F.col("n")).alias("all_pass"), share(F.col("hits") >= 1).alias("solved"),
+        (F.sum("hits") / F.sum("n")).alias("pass_at_1"), F.avg("hits").alias("mean_detected"), F.avg("sd").alias("mean_std"), F.avg("range").alias("mean_range"), F.avg(F.when(fail, F.col("varies").cast("double"))).alias("rescuable"),
     )
 
 
+def difficulty_strata() -> dict[str, Column]:
+    """The dimensions of a difficulty report over rows of ``circuit.testability``: sixteen labels and four of their crosses."""
+    small, costs = [0, 1, 2, 4, 8, 16], [1, 2, 4, 8, 16, 32, 64]
+    counts = [0, 1, 2, 4, 8, 16, 32, 64, 128]
+    kind = F.concat(F.lit("sa"), F.col("stuck_at").cast("string"))
+    zero = F.when(F.col("status") == "ok", None).when(F.col("status").startswith("rejected"), None).otherwise(F.col("status"))
+    known = F.when(F.col("status").startswith("rejected"), "rejected").otherwise("ok")
+    out = {
+        "circuit": F.col("design"), "fault_type": kind, "fault_location": F.concat_ws(":", "design", "net"), "location_class": F.col("location"),
+        "difficulty": difficulty_class(known, zero, F.col("p_detect")), "site_depth": numeric_bin(F.col("site_depth"), small), "circuit_depth": numeric_bin(F.col("circuit_depth"), small),
+        "activation_cost": numeric_bin(F.col("activation_cost"), costs), "observability_cost": numeric_bin(F.col("co"), [0, *costs]), "scoap_cost": numeric_bin(F.col("scoap_cost"), costs),
+        "gate_count": numeric_bin(F.col("gate_count"), [*costs, 128, 256]), "num_inputs": numeric_bin(F.col("num_inputs"), counts), "num_outputs": numeric_bin(F.col("num_outputs"), counts),
+        "distance_to_output": numeric_bin(F.col("distance"), small), "activation_probability": probability_bin(F.col("p_active")), "conditional_observability": probability_bin(F.col("p_observe")),
+    }
+    crosses = {"num_inputs_difficulty": ("num_inputs", "difficulty"), "num_outputs_difficulty": ("num_outputs", "difficulty"), "input_output_counts": ("num_inputs", "num_outputs"), "type_location_difficulty": ("fault_type", "location_class", "difficulty")}
+    return out | {name: F.concat_ws("|", *(out[x] for x in parts)) for name, parts in crosses.items()}
+
+
 def median_of_seeds(df: DataFrame, config: str, seed: str, order: str, metric: str, least_seeds: int) -> DataFrame:
     """Per configuration the median over distinct seeds (the last row of a seed counts), with at least ``least_seeds``."""
     last = df.groupBy(config, seed).agg(F.max_by(metric, order).alias("m"))

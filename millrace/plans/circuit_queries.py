@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import signals, text
-from ..operators import circuit, netlist
+from ..operators import circuit, netlist, statistics
 from .registry import Registry, table
 
 query = Registry()
@@ -108,6 +109,37 @@ def site_structure(spark, sf_dir):
     return found.select("design", "net", "location", "gate_count", "circuit_depth", "site_depth", "fanout", "trials")
 
 
+@query(f"""WITH {GATES}, pins AS (SELECT d, x AS net FROM g UNION ALL SELECT d, z FROM g UNION ALL SELECT DISTINCT d, n FROM g), c AS (SELECT d, {NAME.format('net')} AS net, count(*) AS k FROM pins GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY k DESC, net) AS r FROM c) SELECT d AS design, count(*) FILTER (k >= 4) AS n_high, string_agg(net || ' ' || k, ', ' ORDER BY r) FILTER (r <= 5 AND k >= 4) AS top FROM r GROUP BY d""")
+def high_fanout_nets(spark, sf_dir):
+    """Nets that four pins and more read: how many, and the first five."""
+    cells = netlist.library(spark).select("cell", "pin")
+    readers = netlist.gates(designs(spark, sf_dir)).join(cells, ["cell", "pin"], "left_anti").groupBy("design", "net").agg(F.count("*").alias("k"))
+    ranked = readers.withColumn("r", F.row_number().over(Window.partitionBy("design").orderBy(F.desc("k"), "net")))
+    listed = F.array_sort(F.collect_list(F.when((F.col("r") <= 5) & (F.col("k") >= 4), F.struct("r", F.concat_ws(" ", "net", F.col("k").cast("string")).alias("s")))))
+    return ranked.groupBy("design").agg(F.count_if(F.col("k") >= 4).alias("n_high"), F.nullif(F.array_join(F.transform(listed, lambda x: x["s"]), ", "), F.lit("")).alias("top"))
+
+
+_BIN = "CASE WHEN {0} <= 0 THEN '0' WHEN {0} <= 1 THEN '1' WHEN {0} <= 2 THEN '2' WHEN {0} <= 4 THEN '3..4' WHEN {0} <= 8 THEN '5..8' WHEN {0} <= 16 THEN '9..16' ELSE '>16' END"
+
+
+@query(f"""WITH RECURSIVE {GATES}, {MACHINES}, good AS (SELECT * FROM m WHERE f IS NULL),
+    p AS (SELECT m.d, m.n, m.f, m.s, xor({GOOD.format('m.f').replace('y', 'good.y').replace('vals', 'good.vals')}, m.s * 65535) AS active, xor(good.y, m.y) AS seen FROM m JOIN good ON good.d = m.d WHERE m.f IS NOT NULL),
+    q AS (SELECT *, bit_count(active) / 16 AS pa, bit_count(active & seen) / 16 AS pd FROM p),
+    l AS (SELECT pd, pa, 'sa' || s AS fault_type, CASE WHEN f < 0 THEN 'primary_input' WHEN f = 0 THEN 'primary_output' ELSE 'internal' END AS location_class,
+        CASE WHEN pd = 0 THEN 'proven_undetectable_exhaustive' WHEN pd >= 0.25 THEN 'easy_p>=0.25' WHEN pd >= 0.0625 THEN 'medium_0.0625<=p<0.25' ELSE 'hard_0.00390625<=p<0.0625' END AS difficulty,
+        CASE WHEN n + 1 <= 2 THEN '2' WHEN n + 1 <= 4 THEN '3..4' WHEN n + 1 <= 8 THEN '5..8' WHEN n + 1 <= 16 THEN '9..16' WHEN n + 1 <= 32 THEN '17..32' ELSE '33..64' END AS gate_count FROM q),
+    x AS (SELECT 'all' AS dimension, 'all' AS label, pd FROM l UNION ALL SELECT 'fault_type', fault_type, pd FROM l UNION ALL SELECT 'location_class', location_class, pd FROM l UNION ALL SELECT 'difficulty', difficulty, pd FROM l
+        UNION ALL SELECT 'gate_count', gate_count, pd FROM l UNION ALL SELECT 'num_inputs', '3..4', pd FROM l UNION ALL SELECT 'num_outputs', '1', pd FROM l UNION ALL SELECT 'num_inputs_difficulty', '3..4|' || difficulty, pd FROM l
+        UNION ALL SELECT 'num_outputs_difficulty', '1|' || difficulty, pd FROM l UNION ALL SELECT 'input_output_counts', '3..4|1', pd FROM l UNION ALL SELECT 'type_location_difficulty', fault_type || '|' || location_class || '|' || difficulty, pd FROM l)
+    SELECT dimension, label, count(*) AS problems, avg(pd) AS random_detection FROM x GROUP BY ALL""")
+def difficulty_report(spark, sf_dir):
+    """Problems and how often a random vector detects, by the dimensions of a difficulty report; those that SQL shows here."""
+    shown = ("fault_type", "location_class", "difficulty", "gate_count", "num_inputs", "num_outputs", "num_inputs_difficulty", "num_outputs_difficulty", "input_output_counts", "type_location_difficulty")
+    strata = statistics.difficulty_strata()
+    return statistics.stratified_report(circuit.testability(designs(spark, sf_dir)), {k: strata[k] for k in shown}, {"problems": F.count("*"), "random_detection": F.avg("p_detect")})
+
+
 def _problems(spark, sf_dir):
     """One fault and one vector a design: net w1 or the last input, the vector and the polarity by the customer's number."""
     d = F.col("design")
@@ -218,3 +250,22 @@ def pairs_within(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     a, b = lines.withColumnRenamed("l_suppkey", "left_supplier"), lines.withColumnRenamed("l_suppkey", "right_supplier")
     return a.join(b, "l_orderkey").where("left_supplier < right_supplier").groupBy("l_orderkey", "left_supplier", "right_supplier").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT DISTINCT o_custkey AS design FROM orders WHERE o_custkey % 7 > 0""")
+def usable_designs(spark, sf_dir):
+    """Designs that compile; every seventh lacks the driver of its output."""
+    texts = designs(spark, sf_dir)
+    broken = F.replace("netlist", F.lit("BUF gy("), F.lit("// BUF gy("))
+    return circuit.usable(texts.withColumn("netlist", F.when(F.col("design") % 7 == 0, broken).otherwise(F.col("netlist")))).where("reason is null").select("design")
+
+
+@query(f"""WITH RECURSIVE {GATES}, r AS (SELECT DISTINCT d, n, 0::BIGINT AS k, []::BIGINT[] AS f FROM g UNION ALL
+        SELECT r.d, r.n, g.k, list_append(f, 1 + greatest(CASE WHEN x > 0 THEN f[x] ELSE 0 END, CASE WHEN z > 0 THEN f[z] ELSE 0 END)) FROM r JOIN g ON g.d = r.d AND g.k = r.k + 1),
+    e AS (SELECT d, n, greatest(list_max(f), f[n] + 1) AS depth FROM r WHERE k = n), c AS (SELECT d, ['AND2', 'OR2', 'XOR2', 'NAND2', 'NOR2'][c + 1] AS cell, count(*) AS k FROM g GROUP BY ALL UNION ALL SELECT DISTINCT d, 'BUF', 1 FROM g),
+    q AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY k DESC, cell) AS r FROM c), x AS (SELECT q.d, string_agg(cell || ' (' || printf('%.1f', round(100.0::DOUBLE * k / (n + 1), 1)) || '%)', ', ' ORDER BY r) AS mix FROM q JOIN e ON e.d = q.d WHERE r <= 5 GROUP BY q.d)
+    SELECT e.d AS design, 'This combinational ASAP7 standard-cell netlist exposes 4 primary input bits (a0, a1, a2, and a3) and 1 primary output bits (y). The implementation uses ' || (n + 1) || ' cells, dominated by ' || mix
+        || '; the longest combinational path traverses ' || depth || ' levels of logic.' AS description FROM e JOIN x ON x.d = e.d""")
+def design_descriptions(spark, sf_dir):
+    texts = designs(spark, sf_dir)
+    return netlist.descriptions(netlist.gates(texts), netlist.library(spark), netlist.ports(texts))

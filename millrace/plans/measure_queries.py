@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import documents, keys, numbers, overlap, signals, text
-from ..operators import joins, ranking, statistics
+from ..operators import joins, ranking, records, statistics
 from .registry import Registry, table
 
 query = Registry()
@@ -47,9 +47,11 @@ def component_means(spark, sf_dir):
     SELECT batch, n_distinct, CAST(sum(coalesce(fresh, 0)) OVER (ORDER BY batch) AS BIGINT) AS n_so_far FROM b LEFT JOIN n USING (batch)""")
 def batch_diversity(spark, sf_dir):
     """Distinct designs in each batch, and so far: a design counts in the batch of its first sight."""
-    events = table(spark, sf_dir, "events").select(F.expr("event_id div 64").alias("batch"), "user_id", F.lit(0).alias("all"))
+    events = table(spark, sf_dir, "events").select(F.expr("event_id div 64").alias("batch"), "user_id")
     own = events.groupBy("batch").agg(F.countDistinct("user_id").alias("n_distinct"))
-    return own.join(ranking.coverage_curve(events, "all", "batch", "user_id").select("batch", F.col("covered").alias("n_so_far")), "batch")
+    fresh = events.groupBy("user_id").agg(F.min("batch").alias("batch")).groupBy("batch").agg(F.count("*").alias("fresh"))
+    steps = own.join(fresh, "batch", "left").withColumn("fresh", F.coalesce("fresh", F.lit(0).cast("long")))
+    return records.running_sum(steps, ["batch"], "fresh", "n_so_far").select("batch", "n_distinct", "n_so_far")
 
 
 @query("""WITH g AS (SELECT l_suppkey, l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS c, avg(l_discount) AS p FROM lineitem GROUP BY ALL HAVING count(*) >= 2 AND l_orderkey % 3 > 0),

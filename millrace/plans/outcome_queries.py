@@ -51,12 +51,12 @@ def stratified_report(spark, sf_dir):
     return statistics.stratified_report(part, dims, {"n": F.count("*"), "mean": F.avg("p_retailprice"), "top": F.max("p_retailprice")})
 
 
-@query("""WITH g AS (SELECT l_orderkey, min(s) AS lo, max(s) AS hi, avg(s) AS m, stddev_pop(s) AS sd FROM (SELECT l_orderkey, (l_returnflag = 'R')::INT AS s FROM lineitem) GROUP BY ALL)
-    SELECT count(*) AS n_groups, avg((lo = hi)::INT) AS degenerate, avg((hi = 0)::INT) AS all_fail, avg((lo = 1)::INT) AS all_pass, avg((hi = 1)::INT) AS solved,
-        avg(m) AS pass_at_1, avg(sd) AS mean_std, avg(hi - lo) AS mean_range FROM g""")
+@query("""WITH g AS (SELECT l_orderkey, max(l_discount) - min(l_discount) AS r, stddev_pop(l_discount) AS sd, count(*) FILTER (l_returnflag = 'R') AS h, count(*) AS n, max(l_tax) - min(l_tax) > 1e-8 OR max(l_quantity % 3) - min(l_quantity % 3) > 1e-8 AS v FROM lineitem GROUP BY ALL)
+    SELECT count(*) AS n_groups, avg((r <= 1e-8)::INT) AS degenerate, avg((h = 0)::INT) AS all_fail, avg((h = n)::INT) AS all_pass, avg((h >= 1)::INT) AS solved, sum(h) / sum(n) AS pass_at_1, avg(h) AS mean_detected,
+        avg(sd) AS mean_std, avg(r) AS mean_range, avg(CASE WHEN h = 0 THEN v::INT END) AS rescuable FROM g""")
 def group_diagnostics(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").cast("int").alias("s"))
-    return statistics.group_diagnostics(lines, "l_orderkey", "s")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_tax", (F.col("l_quantity") % 3).alias("q"), (F.col("l_returnflag") == "R").cast("int").alias("d"))
+    return statistics.group_diagnostics(lines, "l_orderkey", "l_discount", "d", ["l_tax", "q"])
 
 
 @query("""WITH last AS (SELECT o_custkey, o_orderpriority, arg_max(o_totalprice, o_orderkey) AS m FROM orders GROUP BY ALL)

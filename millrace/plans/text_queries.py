@@ -102,8 +102,8 @@ def names_and_digests(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size <= 0 THEN '0' WHEN p_size <= 4 THEN '1..4' WHEN p_size <= 16 THEN '5..16' WHEN p_size <= 32 THEN '17..32' ELSE '>32' END AS size_bin,
-    CASE WHEN p_size / 64.0 = 0 THEN '0' WHEN p_size / 64.0 <= 1 / 256 THEN '(0,1/256]' WHEN p_size / 64.0 <= 1 / 16 THEN '(1/256,1/16]' WHEN p_size / 64.0 <= 0.25 THEN '(1/16,1/4]'
-        WHEN p_size / 64.0 <= 0.5 THEN '(1/4,1/2]' WHEN p_size / 64.0 <= 1 THEN '(1/2,1]' ELSE 'unknown' END AS probability_bin FROM part""")
+    CASE WHEN p_size / 64.0 = 0 THEN '0' WHEN p_size / 64.0 <= 1 / 256 THEN '(0,0.00390625]' WHEN p_size / 64.0 <= 1 / 16 THEN '(0.00390625,0.0625]' WHEN p_size / 64.0 <= 0.25 THEN '(0.0625,0.25]'
+        WHEN p_size / 64.0 <= 0.5 THEN '(0.25,0.5]' WHEN p_size / 64.0 <= 1 THEN '(0.5,1]' ELSE 'unknown' END AS probability_bin FROM part""")
 def bins(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return part.select("p_partkey", numbers.numeric_bin(F.col("p_size"), [0, 4, 16, 32]).alias("size_bin"), numbers.probability_bin(F.col("p_size") / 64.0).alias("probability_bin"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import chat, keys, numbers, rewards, signals, text
-from ..operators import circuit, joins, ranking, records, statistics
+from ..operators import circuit, joins, ranking, records, statistics, strategies
 from . import circuit_queries, outcome_queries
 from .registry import Registry, table
 
@@ -195,7 +195,7 @@ def grouped_shuffle(spark, sf_dir):
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN -log2(least(1.0, s_acctbal / 10000)) + 0.0 END AS bits, CASE WHEN s_acctbal > 0 THEN 1 / least(1.0, s_acctbal / 10000) END AS expected, 'sa' || (s_suppkey % 2) AS polarity, 'n' || s_suppkey AS net,
-    'The module m' || s_suppkey || ' has ' || CASE WHEN s_suppkey = 1 THEN '1 gate' ELSE s_suppkey || ' gates' END || ', with inputs a, b and c.' AS caption FROM supplier""")
+    'The module m' || s_suppkey || ' has ' || CASE WHEN s_suppkey = 1 THEN '1 gate' ELSE s_suppkey || ' gates' END || ', with inputs a, b, and c.' AS caption FROM supplier""")
 def difficulty_texts(spark, sf_dir):
     """Bits of difficulty, expected vectors, faults in the long spelling, and captions."""
     suppliers = table(spark, sf_dir, "supplier")
@@ -237,3 +237,28 @@ def reward_components(spark, sf_dir):
     shown = {"detection": "detection", "activation": "activation", "fidelity": "fidelity", "format": "format", "compliance": "format_compliance_logonly", "table_accuracy": "pred_vs_fault_sim_acc_logonly", "mention": "fault_mention_logonly"}
     scalar = F.round(sum((F.element_at("m", k) * w for k, w in rewards.profile("full").items()), F.lit(0.0)), 9)
     return scored.select("design", *(F.element_at("m", k).alias(n) for n, k in shown.items()), rewards.accepted(F.col("m"), "full_accuracy").alias("accepted"), scalar.alias("scalar"))
+
+
+@query("""SELECT doc_id, row_number() OVER (ORDER BY sha256('9:' || doc_id), doc_id) AS position FROM documents""")
+def named_order(spark, sf_dir):
+    """An order by its name."""
+    return strategies.ordered(table(spark, sf_dir, "documents").select("doc_id", "lang"), "random", "lang", "doc_id", 9).select("doc_id", "position")
+
+
+@query(f"""SELECT conv_id, turn, 0.0::DOUBLE AS answered, {WORDS}::DOUBLE AS length FROM conversations WHERE role = 'assistant'""")
+def named_scores(spark, sf_dir):
+    """Scores by their names."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("completion"))
+    return strategies.scored(turns, ["answered", "length"]).drop("completion")
+
+
+@query("""SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY sha256('12:' || doc_id), doc_id LIMIT 40""")
+def eligible_sample(spark, sf_dir):
+    """A sample of what a predicate that is handed in lets through."""
+    return records.seeded_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 12, 40, lambda df: df.where("lang = 'en'")).select("doc_id")
+
+
+@query("""WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS came FROM documents), l AS (SELECT doc_id, came, came + CAST(floor(CAST(CAST('0x' || substr(sha256('4:' || doc_id), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 * 256) AS BIGINT) AS leaves FROM c)
+    SELECT doc_id, row_number() OVER (ORDER BY leaves, came) AS position FROM l""")
+def buffered_shuffle(spark, sf_dir):
+    return records.buffered_shuffle(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], "doc_id", 4, 256)

@@ -73,3 +73,28 @@ def whole_json(df: DataFrame, path: str, exclusive: bool = False) -> None:
         files.delete(final, True)
     if not files.rename(beside, final):
         raise OSError(f"{path} was not renamed")
+
+
+def named_shards(df: DataFrame, path: str, split: str = "split", rows: int = 2000) -> list[str]:
+    """Parquet shards ``{split}-{number:05d}.parquet`` of at most ``rows`` rows; the shards of the splits that ``df`` has are replaced,
+    those of others stay.  Returns the names."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    beside, final = hadoop(f"{path}.{uuid.uuid4().hex}.tmp"), hadoop(path)
+    df.withColumn("__split", F.col(split)).write.option("maxRecordsPerFile", rows).partitionBy("__split").parquet(beside.toString())
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(final)
+    names = []
+    for folder in files.listStatus(beside):
+        own = folder.getPath().getName().partition("=")[2]
+        if not folder.isDirectory():
+            continue
+        for old in files.listStatus(final):
+            if old.getPath().getName().rpartition("-")[0] == own:
+                files.delete(old.getPath(), False)
+        parts = sorted(f.getPath().toString() for f in files.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+        for number, part in enumerate(parts):
+            names.append(f"{own}-{number:05d}.parquet")
+            files.rename(hadoop(part), hadoop(final, names[-1]))
+    files.delete(beside, True)
+    return sorted(names)

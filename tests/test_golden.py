@@ -144,7 +144,7 @@ def test_text_functions(spark):
     assert one(spark, text.final_part(x), x="<think>input: a</think>ok<tool_response>r</tool_response>end") == "end"
     assert one(spark, text.parse_fault(x), x="SA1 n[3]").asDict() == {"stuck_at": 1, "net": "n[3]"} and one(spark, text.parse_fault(x), x="stuck") is None
     assert one(spark, text.csv_tokens(x), x=" a, ,b ,") == ["a", "b"] and one(spark, text.ngrams(text.tokens(x), 2), x="a b  c") == ["a b", "b c"]
-    assert one(spark, numbers.numeric_bin(x, [1, 5]), x=9) == ">5" and one(spark, numbers.probability_bin(x), x=0.2) == "(1/16,1/4]"
+    assert one(spark, numbers.numeric_bin(x, [1, 5]), x=9) == ">5" and one(spark, numbers.probability_bin(x), x=0.2) == "(0.0625,0.25]"
 
 
 def test_split_is_by_group(spark):
@@ -157,3 +157,14 @@ def test_windows_and_ranks(spark):
     assert sorted((r["i"], r["rank"]) for r in records.ranked(df, ["i"]).collect()) == [(i, i + 1) for i in range(100)]
     assert records.window_distinct(df, "g", ["i"], 40).count() == 2
     assert [r["i"] for r in records.skip_take(df, ["i"], 3, 0).collect()] == list(range(3, 100)) and records.ranked(df.limit(0), ["i"]).count() == 0
+
+
+def test_difficulty_strata(spark):
+    rows = circuit.testability(designs(spark)).where("design = 'mux'")
+    strata = statistics.difficulty_strata()
+    assert len(strata) == 20
+    got = {r["dimension"]: r["label"] for r in statistics.stratified_report(rows.where("net = 's' and stuck_at = 0"), strata, {"n": F.count("*")}).collect()}
+    assert got["observability_cost"] == "3..4" and got["activation_cost"] == "0..1" and got["scoap_cost"] == "3..4" and got["location_class"] == "primary_input" and got["distance_to_output"] == "1"
+    assert got["input_output_counts"] == "3..4|1" and got["activation_probability"] == "(0.25,0.5]" and got["type_location_difficulty"].startswith("sa0|primary_input|")
+    one = circuit.testability(designs(spark)).where("design = 'xor_reconvergent' and net = 'y' and stuck_at = 0").first()
+    assert one["reconvergent"] == 1 and one["support"] == 1 and one["site_depth"] == 2 and one["expected_vectors"] is None and (one["p_detect_low"], one["p_detect_high"]) == (0.0, 0.0)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from millrace.operators import records
+from millrace.operators import records, strategies
 from millrace.sources import staging
 from pyspark.sql import functions as F
 
@@ -37,3 +37,28 @@ def test_samples_of_too_few_rows(spark):
     assert records.stratified_sample(table, ["g"], "id", 1, 10).count() == 5
     with pytest.raises(ValueError):
         records.stratified_sample(table, ["g"], "id", 1, 10, exact=True).count()
+
+
+def test_running_sums(spark):
+    table = spark.range(100_000).select(F.xxhash64("id").alias("k"), F.when(F.col("id") % 10 > 0, F.col("id") % 5).alias("v"))
+    out = records.running_sum(table, ["k"], "v", "total")
+    rows = out.orderBy("k").select("v", "total").collect()
+    total = 0
+    for r in rows:
+        total += r["v"] or 0
+        assert r["total"] == total
+
+
+def test_orders_by_name(spark):
+    table = spark.range(60).select("id", F.when(F.col("id") < 40, "a").when(F.col("id") < 55, "b").otherwise("c").alias("g"))
+    for name in strategies.ORDERS:
+        rows = strategies.ordered(table, name, "g", "id", 3).orderBy("position").collect()
+        assert [r["position"] for r in rows] == list(range(1, 61)) and set(rows[0].asDict()) == {"id", "g", "position"}
+        if name == "round_robin":
+            assert [r["g"] for r in rows[:6]] == ["a", "b", "c"] * 2
+        if name == "even":
+            assert {r["g"] for r in rows[:12]} == {"a", "b", "c"}
+    with pytest.raises(ValueError):
+        strategies.ordered(table, "other", "g", "id")
+    with pytest.raises(ValueError):
+        strategies.register(strategies.ORDERS, "even", None)

@@ -68,3 +68,19 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "report" / "table")).count() == 10
     union = writers.union_of_columns([spark.range(1), spark.range(1).withColumn("extra", F.lit(2))])
     assert sorted(union.columns) == ["extra", "id"] and union.count() == 2
+
+
+def test_trial_store(spark):
+    url = "jdbc:derby:memory:trials;create=true"
+    rows = [(1, "COMPLETE", 0.5), (2, "RUNNING", None), (3, "COMPLETE", None), (4, "COMPLETE", 0.9)]
+    spark.createDataFrame(rows, "number int, state string, value double").write.format("jdbc").option("url", url).option("dbtable", "trials").option("createTableColumnTypes", "state VARCHAR(20)").save()
+    assert sorted(r["number"] for r in readers.trials(spark, url, "trials").collect()) == [1, 4]
+    assert sorted(r["number"] for r in readers.trials(spark, url, "trials", "number", (1, 5, 2)).collect()) == [1, 4]
+
+
+def test_named_shards(spark, tmp_path):
+    rows = spark.range(10).coalesce(1).select("id", F.when(F.col("id") < 7, "train").otherwise("test").alias("split"))
+    path = str(tmp_path / "named")
+    assert writers.named_shards(rows, path, rows=3) == ["test-00000.parquet", "train-00000.parquet", "train-00001.parquet", "train-00002.parquet"]
+    assert writers.named_shards(rows.where("id < 2"), path, rows=3) == ["train-00000.parquet"]
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [0, 1, 7, 8, 9]
