@@ -8,15 +8,7 @@ import zlib
 import numpy as np
 from millrace.llm import quality_classifier, quality_rules
 
-from . import fixtures
-
-
-def brute_counts(text):
-    words = re.findall("[^\x20\x09-\x0d]+", text or "")
-    seen = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
-    hit = {j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
-    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit)
+from . import fixtures, plain
 
 
 def test_counts_match_brute_force(spark):
@@ -25,7 +17,7 @@ def test_counts_match_brute_force(spark):
     data += [(100 + i, t, "en", "s", 0, "", 0.0, 0, "") for i, t in enumerate(texts)]
     got = quality_rules.judge(fixtures.frame(spark, data)).collect()
     assert len(got) == len(data)
-    want = collections.Counter((r[0], *brute_counts(r[1])) for r in data)
+    want = collections.Counter((r[0], *plain.base_counts(r[1])) for r in data)
     assert collections.Counter((r["doc_id"], *(r[c] for c in quality_rules.BASE)) for r in got) == want
     for r in got:
         assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"])
@@ -128,3 +120,27 @@ def test_classifier_statistics_see_the_whole_text():
     words, salad = [f"w{rng.getrandbits(40)}" for _ in range(200)], ["a", "b"] * 2000
     front, back = (quality_classifier.text_statistics(" ".join(x).encode()) for x in (words + salad, salad + words))
     assert front[4] == back[4] == (200 + 20 * 2) / 4200
+
+
+def test_label_model_matches_plain_expectation_maximisation(spark):
+    """Votes, posteriors and verdicts against the same steps in plain Python, document by document."""
+    data = fixtures.rows(120, seed=9)
+    judged = quality_rules.judge(fixtures.frame(spark, data)).collect()
+    names = [r.name for r in quality_rules.RULES]
+    want = collections.Counter()
+    all_votes = [plain.votes(r[1]) for r in data]
+    for r, v, p in zip(data, all_votes, plain.posteriors(all_votes)):
+        n, *_, repeats = plain.base_counts(r[1])
+        want[r[0], v, round(p, 5), n >= 20 and 100 * repeats <= 30 * n and p >= 0.5] += 1
+    assert collections.Counter((r["doc_id"], tuple(r[n] for n in names), round(r["posterior"], 5), r["kept"]) for r in judged) == want
+
+
+def test_scores_match_a_plain_fit(spark):
+    """Features, normal equations and calibration against one dense solve in plain numpy."""
+    data = fixtures.rows(150, seed=21)
+    docs, labels = fixtures.frame(spark, data), fixtures.labels(spark, data)
+    want = collections.defaultdict(list)
+    for r, s in zip(data, plain.quality_scores(data, [tuple(r) for r in labels.collect()])):
+        want[r[0]].append(float(s))
+    for r in quality_classifier.score(docs, labels).collect():
+        assert any(abs(r["score"] - s) < 2e-3 for s in want[r["doc_id"]])

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import duckdb
@@ -59,6 +60,43 @@ def test_lm_filter_levels(spark):
     assert (f.levels(other, np.zeros(len(other), np.int64)) > 0).mean() < 0.02
 
 
+def brute_scores(data, smoothing=4.0):
+    """The model's formula over exact counts, each taken at its level's count."""
+    tokens = [(r[1] or "").encode().lower().split() + [b""] for r in data]
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in data]
+    single = collections.Counter(t for own, h in zip(tokens, held) if not h for t in own)
+    pairs = collections.Counter(p for own, h in zip(tokens, held) if not h for p in zip([None, *own], own))
+    total, starts = sum(single.values()) + len(single) + 1, held.count(False)
+    level = lambda c: language_model.LEVEL_COUNTS[c.bit_length()]
+    out = []
+    for own in tokens:
+        score = 0.0
+        for before, t in zip([None, *own], own):
+            together, context = level(pairs[before, t]), starts if before is None else level(single[before])
+            score += math.log10((together + smoothing * (level(single[t]) + 1) / total) / (max(context, together) + smoothing))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("bound", [1 << 28, 0])
+def test_lm_scores_match_exact_counts(spark, monkeypatch, bound):
+    """With so many bits that nothing collides; the whole filter broadcast, and probed segment by segment."""
+    monkeypatch.setattr(language_model, "BITS_PER_ENTRY", 400)
+    data = fixtures.rows()
+    got = language_model.score_held_out(fixtures.frame(spark, data), max_filter_bytes=bound, segments=7).collect()
+    want = collections.Counter((r[0], round(s, 6)) for r, s in zip(data, brute_scores(data)))
+    assert collections.Counter((r["doc_id"], round(r["score"], 6)) for r in got) == want
+
+
+def test_lm_probes_by_segment_as_it_does_by_broadcast(spark):
+    data = fixtures.rows(200, seed=4)
+    columns = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    one, two = (language_model.score_held_out(fixtures.frame(spark, data), max_filter_bytes=b, most_frequent=30).select(*columns).collect() for b in (1 << 28, 0))
+    shown = lambda rows: sorted(repr((r[0], r[1], r[2], round(r[3], 6), round(r[4], 6))) for r in rows)
+    assert shown(one) == shown(two)
+    assert language_model.score_held_out(fixtures.frame(spark, []), max_filter_bytes=-1).count() == 0
+
+
 def test_lm_empty(spark):
     assert language_model.score_held_out(fixtures.frame(spark, [])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
@@ -116,6 +154,43 @@ def test_unigram_is_viterbi():
         assert sum(model.scores[t] for t in tokens) == pytest.approx(best(word)[0])
 
 
+def unigram_file(pieces: dict[str, float]) -> bytes:
+    """A SentencePiece model file with these pieces, written by hand: no normalisation, a mark before the text."""
+
+    def number(n: int) -> bytes:
+        out = b""
+        while True:
+            out, n = out + bytes([n & 127 | (128 if n > 127 else 0)]), n >> 7
+            if not n:
+                return out
+
+    field = lambda k, data: number(k << 3 | 2) + number(len(data)) + data
+    flag = lambda k, v: number(k << 3) + number(v)
+    piece = lambda text, score, kind: field(1, field(1, text.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + flag(3, kind))
+    head = piece("<unk>", 0.0, 2) + piece("<s>", 0.0, 3) + piece("</s>", 0.0, 3)
+    normal = field(1, b"identity") + flag(3, 1) + flag(4, 0) + flag(5, 1)
+    return head + b"".join(piece(t, s, 1) for t, s in pieces.items()) + field(2, flag(3, 1)) + field(3, normal)
+
+
+def test_unigram_equals_the_library(tmp_path):
+    import sentencepiece
+
+    rng = random.Random(12)
+    letters = "abcde"
+    pieces = {"▁": -4.0} | {c: -6.0 - i / 7 for i, c in enumerate(letters)}
+    while len(pieces) < 120:
+        body = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 6)))
+        pieces.setdefault(rng.choice(["", "▁"]) + body, -1.0 - 9 * rng.random())
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_file(pieces))
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    model = sentencepiece_codec.Model.load(str(path))
+    assert model.unigram
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 30))) for _ in range(80)]
+    offsets, tokens = sentencepiece_codec.Encoder(model).encode(texts)
+    assert [tokens[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t) for t in texts]
+
+
 # Matroska
 
 
@@ -249,3 +324,72 @@ def test_license_scan(spark):
     plain = con.execute(license_scan.scan_sql()).fetchall()
     assert sorted(map(str, plain)) == sorted(str((r["doc_id"], r["digest"], r["license"], r["notices"])) for r in rows)
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_matroska_digests_match_a_plain_version(spark):
+    data = fixtures.rows()
+    got = {(r["doc_id"], r["payload_sha256"]): r for r in matroska.store_texts(fixtures.frame(spark, data), with_media=True).collect()}
+    for r in data:
+        text = (r[1] or "").encode()
+        sent = text + b" " * (-len(text) % 192 or (192 if not text else 0))
+        row = got[r[0], hashlib.sha256(sent).hexdigest()]
+        media = bytes(row["media"])
+        assert (row["n_bytes"], row["payload_bytes"], row["tail_crc32"]) == (len(text), len(sent), zlib.crc32(sent[-16:]))
+        assert (row["media_bytes"], row["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        parsed = matroska.parse(media)
+        stated = dict(x.split("=") for x in row["feature"].split(";"))
+        assert int(stated["packets"]) == len(parsed.packets) and int(stated["clusters"]) == media.count(bytes.fromhex("1f43b675"))
+        assert int(stated["mean"]) == sum(sent) * 1000 // len(sent) and int(stated["power"]) == sum(b * b for b in sent) * 1000 // len(sent)
+
+
+def test_matroska_refuses_numbers_out_of_range(spark):
+    def element(kind: str, body: bytes) -> bytes:
+        return bytes.fromhex(kind) + (len(body) | 1 << 56).to_bytes(8, "big") + body
+
+    head = element("1a45dfa3", b"")
+    late = element("18538067", element("1f43b675", element("e7", b"\xff" * 8) + element("a3", b"\x81\x00\x00\x80x")))
+    wide = element("18538067", element("1f43b675", element("e7", b"\x00") + element("a3", b"\x01" + b"\xff" * 6 + b"\x7f" + b"\x00\x00\x80x")))
+    files = spark.createDataFrame([(1, head + late), (2, head + wide)], "id long, media binary")
+    rows = matroska.packet_table(files, id_col="id", media_col="media").collect()
+    assert len(rows) == 2 and all(r["error"] and r["track"] is None for r in rows)
+
+
+def test_licences_with_many_notices(spark):
+    data = fixtures.rows() + [(300, "License: MIT-like\nsome text\nLicense: odd 77\nlicense: odd 77", "", "", 0, "", 0.0, 0, "")]
+    few = spark.createDataFrame([("odd", "License: odd 77"), ("mit", "license mit-like")], "license string, text string")
+    known = few.select(license_scan.digest(few["text"]).alias("digest"), "license")
+    many = known.union(spark.range(3000).selectExpr("sha2(cast(id as string), 256) as digest", "'none' as license"))
+    docs = fixtures.frame(spark, data)
+    shown = lambda n: sorted(repr(tuple(r)) for r in license_scan.scan(docs, notices=n).collect())
+    assert shown(known) == shown(many)
+    assert [r["notices"] for r in license_scan.scan(docs, notices=many).where("doc_id = 300").collect()] == [["mit", "odd"]]
+
+
+def test_url_features_of_long_urls(spark):
+    long = "https://a.example.com/" + "x1/" * 100_000 + "?q=" + "z" * 100_000
+    pages = spark.createDataFrame([(1, long), (2, "://"), (3, None)], "page_id long, url string")
+    labelled = spark.createDataFrame([(f"http://{i % 7}.site{i % 3}.net/p{i}", i % 2) for i in range(400)], "url string, label int")
+    model = url_filter.fit(labelled)
+    rows = {r["page_id"]: r for r in url_filter.judge(pages, URL_RULES, model).collect()}
+    assert rows[1]["host"] == "a.example.com" and len(rows[1]["path"]) == 1 + 300_000 and 0 <= rows[1]["score"] <= 1
+    again = url_filter.fit(labelled.repartition(7), max_fit_rows=150)
+    assert np.array_equal(again.scores(["http://1.site2.net/p5"]), url_filter.fit(labelled, max_fit_rows=150).scores(["http://1.site2.net/p5"]))
+
+
+def test_boosting_matches_a_plain_version():
+    """One tree's splits and leaves against all cuts tried one by one."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 9, (300, 3)).astype(float)
+    y = ((x[:, 0] > 4) ^ (rng.random(300) < 0.1)).astype(float)
+    tree = url_filter.boost(x, y, trees=1, depth=1, rate=1.0, penalty=5.0)
+    start = np.log(y.mean() / (1 - y.mean()))
+    g, h = y - y.mean(), np.full(300, y.mean() * (1 - y.mean()))
+    best = (0.0, 0, 0.0)
+    for j in range(3):
+        for cut in np.unique(x[:, j])[:-1]:
+            left = x[:, j] <= cut
+            gain = g[left].sum() ** 2 / (h[left].sum() + 5) + g[~left].sum() ** 2 / (h[~left].sum() + 5) - g.sum() ** 2 / (h.sum() + 5)
+            best = max(best, (gain, j, cut))
+    left = x[:, best[1]] <= best[2]
+    want = start + np.where(left, g[left].sum() / (h[left].sum() + 5), g[~left].sum() / (h[~left].sum() + 5))
+    assert np.allclose(tree.margin(x), want)
