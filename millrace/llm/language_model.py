@@ -40,7 +40,7 @@ MOST_TASKS = 8192
 BLOCK_BITS = 512
 PROBES = 5
 BITS_PER_ENTRY = 12
-MAX_FILTER_BYTES = 256 << 20
+MAX_FILTER_BYTES = 128 << 20
 MOST_FREQUENT = 1 << 17
 #: A frequent token of more bytes is not broadcast, so that the table has a bound.
 FREQUENT_BYTES = 64
@@ -134,6 +134,22 @@ def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
     return (hashes >> _U(20)).astype(np.int64) % segments
 
 
+#: Bytes of a hash that tell entries of a segment apart: a segment has some hundred thousand of 2^40.
+KEY_BYTES = 5
+_KEY = _U((1 << 8 * KEY_BYTES) - 1)
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    """The low KEY_BYTES of each hash."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel().astype(_U, copy=False)
+
+
 COUNTS = "segment int, hashes binary, counts binary, tokens binary, token_counts binary"
 
 
@@ -152,7 +168,7 @@ def _count_partitions(segments: int):
 
     def pair_blocks(hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         for s, own in by_segment(hashes):
-            yield row(s, hashes[own].tobytes(), counts[own].astype(np.uint32).tobytes(), None, None)
+            yield row(s, packed(hashes[own]), counts[own].astype(np.uint32).tobytes(), None, None)
 
     def token_blocks(numbering: Tokens, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         seen = np.flatnonzero(counts)
@@ -221,13 +237,13 @@ def _merge_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         hashes, counts = _added(pairs) if pairs else (np.zeros(0, _U), np.zeros(0, np.int64))
         # tokens are entered in the filter too, each under its own hash
         names = list(tokens)
-        own = mix(np.array([token_hash(t) for t in names], _U)) if names else np.zeros(0, _U)
+        own = mix(np.array([token_hash(t) for t in names], _U)) & _KEY if names else np.zeros(0, _U)
         totals = np.array([tokens[t] for t in names], np.int64)
         every, times = np.concatenate([hashes, own]), np.concatenate([counts.astype(np.int64), totals])
         levels = (np.floor(np.log2(np.maximum(times, 1))) + 1).astype(np.uint8)
         arrays = [
             pa.array([segment], pa.int32()),
-            pa.array([every.tobytes()], pa.binary()),
+            pa.array([packed(every)], pa.binary()),
             pa.array([levels.tobytes()], pa.binary()),
             pa.array([int(levels.sum())], pa.int64()),
             pa.array([names], pa.list_(pa.binary())),
@@ -244,7 +260,7 @@ def _merge_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     yield result(now, pairs, tokens)
                 now, pairs, tokens = segment, [], {}
             if hashes:
-                pairs.append((np.frombuffer(hashes, _U), np.frombuffer(counts, np.uint32).astype(np.int64)))
+                pairs.append((unpacked(hashes), np.frombuffer(counts, np.uint32).astype(np.int64)))
                 if len(pairs) >= 64:
                     pairs = [_added(pairs)]
             if totals:
@@ -266,7 +282,7 @@ class Filter:
     def places(hashes: np.ndarray, level: int | np.ndarray, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """(block within the segment, bits within the block) of entries."""
         with np.errstate(over="ignore"):
-            x = mix(hashes + _U(0xD1B54A32D192ED03) * np.asarray(level).astype(_U))
+            x = mix((hashes & _KEY) + _U(0xD1B54A32D192ED03) * np.asarray(level).astype(_U))
         block = ((x >> _U(32)) * _U(blocks)) >> _U(32)
         y = mix(x)
         return block.astype(np.int64), [((y >> _U(9 * k)) & _U(BLOCK_BITS - 1)).astype(np.int64) for k in range(PROBES)]
@@ -298,7 +314,7 @@ def _segment_bits(blocks: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                hashes = np.frombuffer(batch.column("hashes")[row].as_py(), _U)
+                hashes = unpacked(batch.column("hashes")[row].as_py())
                 levels = np.frombuffer(batch.column("levels")[row].as_py(), np.uint8)
                 bits = np.zeros(blocks * BLOCK_BITS, bool)
                 for level in range(1, int(levels.max(initial=0)) + 1):
@@ -470,7 +486,7 @@ def _scored_by_segment(source: DataFrame, model: Model, smoothing: float, schema
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema) as out:
                     out.write_batch(part)
-                data = [sink.getvalue().to_pybytes(), *(x.tobytes() for x in np.split(hashes, first[1:]))]
+                data = [sink.getvalue().to_pybytes(), *map(packed, np.split(hashes, first[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(data)), pa.array([-1, *at.tolist()], pa.int32()), pa.array(data, pa.binary())], names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,7 +497,7 @@ def _scored_by_segment(source: DataFrame, model: Model, smoothing: float, schema
                 if chunk is None:
                     now, filter = segment, Filter(np.frombuffer(data, np.uint8), blocks, 1)
                 else:
-                    hashes = np.frombuffer(data, _U)
+                    hashes = unpacked(data)
                     levels = filter.levels(hashes, np.zeros(len(hashes), np.int64)) if segment == now else np.zeros(len(hashes), np.int64)
                     yield pa.RecordBatch.from_pydict({"chunk": [chunk], "segment": pa.array([segment], pa.int32()), "data": [levels.astype(np.uint8).tobytes()]})
 
