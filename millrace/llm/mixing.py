@@ -24,9 +24,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import broadcast_if_small, own_columns, stage_table
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, own_columns, stage_table
 
 BINS = 4096
 
@@ -54,7 +53,9 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2)
 
 
 def _params(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema)) if len(rows) <= 200_000 else spark.createDataFrame(rows, schema)
+    table = spark.createDataFrame(rows, schema)
+    small = len(rows) <= BROADCAST_ROWS and sum(len(str(x)) for r in rows for x in r) <= BROADCAST_BYTES
+    return F.broadcast(table) if small else table
 
 
 def rate(dual: Column, size: Column, scale: Column, most_copies: float) -> Column:
@@ -149,8 +150,7 @@ def source_parameters(measured: DataFrame, weights: tuple[float, ...], total_sha
 def _rated(measured: DataFrame, parameters: DataFrame, most_copies: int) -> DataFrame:
     """``measured`` with s, source_size, target, rate, fraction, floor, class, flip."""
     p = parameters.withColumnRenamed("source", "__source")
-    p = F.broadcast(p) if p.count() <= 200_000 else p
-    rated = measured.join(p, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    rated = measured.join(broadcast_if_small(p), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     exact = F.when(F.col("dual") == F.lit(math.inf), F.lit(float(most_copies))).otherwise(rate(F.col("dual"), F.col("size").cast("double"), F.col("scale"), most_copies))
     rated = rated.withColumn("rate", exact)
     rated = rated.withColumn("floor", F.floor("rate").cast("long"))

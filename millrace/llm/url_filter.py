@@ -14,7 +14,6 @@ ones (1 without any).  Only the named columns are read; each row gets a result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator  # noqa: F401
 from dataclasses import dataclass, field
 
 import numpy as np
