@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import own_columns
 
 MARK = "▁"
-CACHE = 400_000
-PAIRS = 400_000
+CACHE = 800_000
+PAIRS = 500_000
 CHARS = 1 << 24  # above every piece id
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
