@@ -239,3 +239,40 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...
     model = fit(stage_table(patterns.coalesce(1), "patterns"), rules)
     kept = voted.where(~F.col("__failed") & (model.posterior([F.col(v) for v in own.values()]) >= keep_at))
     return kept.select(*(F.col(hidden[c]).alias(c) for c in columns))
+
+
+def judge_sql(rules: tuple[Rule, ...] = RULES, keep_at: float = 0.5, iterations: int = 30, tolerance: float = 1e-3) -> str:
+    """DuckDB SQL for ``judge`` over the table documents: counts, votes, expectation-maximisation by recursion, posterior."""
+    space, number = "[\\x20\\x09-\\x0D]+", range(len(rules))
+    lead = " || ' ' || ".join(f"lead(w, {k}) OVER z" for k in range(1, WINDOW))
+    bound = lambda x: "'Infinity'::DOUBLE" if x == INF else repr(float(x))
+    between = lambda r, span: f"({r.value}) BETWEEN {bound(span[0])} AND {bound(span[1])}"
+    vote = lambda r: f"CASE WHEN {between(r, r.good)} THEN 1 WHEN {between(r, r.fair)} THEN 0 WHEN ({r.value}) IS NULL THEN 0 ELSE -1 END"
+    votes = ", ".join(f"{vote(r)} AS v{i}" for i, r in enumerate(rules)).replace("double(n_words)", "n_words::DOUBLE")
+    posterior = "1 / (1 + exp(-(ln(prior / (1 - prior))" + "".join(
+        f" + CASE WHEN v{i} > 0 THEN ln(g[{i + 1}] / (1 - b[{i + 1}])) WHEN v{i} < 0 THEN ln((1 - g[{i + 1}]) / b[{i + 1}]) ELSE 0 END" for i in number
+    ) + ")))"
+    rate = lambda i, sign, weight, start: f"(coalesce(sum(CASE WHEN v{i} {sign} 0 THEN n * {weight} END), 0) + {start}) / (coalesce(sum(CASE WHEN v{i} <> 0 THEN n * {weight} END), 0) + 1)"
+    goods = ", ".join(f"least(0.995, greatest(0.8, {rate(i, '>', 'p', 0.97)}))" for i in number)
+    bads = ", ".join(f"least(0.9, greatest(0.05, {rate(i, '<', '(1 - p)', 0.3)}))" for i in number)
+    start = "[" + ", ".join(["0.97::DOUBLE"] * len(rules)) + "]", "[" + ", ".join(["0.3::DOUBLE"] * len(rules)) + "]"
+    keys = ", ".join(f"v{i}" for i in number)
+    return f"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    s AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '{space}'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+    tokens AS (SELECT r, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM s),
+    windows AS (SELECT r, i, w || ' ' || {lead} AS win FROM tokens WINDOW z AS (PARTITION BY r ORDER BY i)),
+    seen AS (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS k FROM windows WHERE win IS NOT NULL),
+    repeats AS (SELECT r, count(DISTINCT p) AS k FROM (SELECT r, unnest(generate_series(i, i + {WINDOW - 1})) AS p FROM seen WHERE k > 1) GROUP BY r),
+    stretches AS (SELECT r, sum(k) AS k FROM (SELECT r, (i - 1) // {STRETCH} AS part, count(DISTINCT w) AS k FROM tokens GROUP BY ALL) GROUP BY r),
+    counts AS (SELECT s.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeats.k, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, coalesce(stretches.k, 0) AS n_distinct_words,
+        len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_upper, length(t) AS n_chars, len(regexp_extract_all(t, '[!?]')) AS n_marks, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}[.,;:]?$'))) AS n_plain
+        FROM s LEFT JOIN repeats USING (r) LEFT JOIN stretches USING (r)),
+    voted AS (SELECT *, {votes} FROM counts), patterns AS (SELECT {keys}, count(*) AS n FROM voted GROUP BY ALL),
+    em AS (SELECT 0 AS step, 0.85::DOUBLE AS prior, {start[0]} AS g, {start[1]} AS b, 1.0::DOUBLE AS moved
+        UNION ALL SELECT step + 1, prior_, g_, b_, greatest(abs(prior_ - prior), list_max(list_transform(list_zip(g_, g), lambda x: abs(x[1] - x[2]))), list_max(list_transform(list_zip(b_, b), lambda x: abs(x[1] - x[2])))) FROM (
+            SELECT step, prior, g, b, least(0.95, greatest(0.5, sum(n * p) / sum(n))) AS prior_, [{goods}] AS g_, [{bads}] AS b_ FROM (SELECT em.step, em.prior, em.g, em.b, n, {keys}, {posterior} AS p FROM em, patterns WHERE em.step < {iterations} AND em.moved >= {tolerance}) GROUP BY step, prior, g, b)),
+    model AS (SELECT * FROM em ORDER BY step DESC LIMIT 1),
+    judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {posterior} AS posterior FROM voted, model)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= {keep_at} AS kept, round(posterior, 6) AS posterior FROM judged"""

@@ -46,7 +46,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "posterior")
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +109,4 @@ ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | {"op6_license_scan": license_scan.scan_sql()}
+    return ORACLE | {"op5_quality_rules": quality_rules.judge_sql(), "op6_license_scan": license_scan.scan_sql()}

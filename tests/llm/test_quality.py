@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import collections
 import random
-import re
 import zlib
 
 import numpy as np
@@ -144,3 +143,17 @@ def test_scores_match_a_plain_fit(spark):
         want[r[0]].append(float(s))
     for r in quality_classifier.score(docs, labels).collect():
         assert any(abs(r["score"] - s) < 2e-3 for s in want[r["doc_id"]])
+
+
+def test_rules_match_their_sql(spark):
+    """The whole query against its SQL, on odd texts and on an empty table."""
+    import duckdb
+    import pandas as pd
+
+    for data in (fixtures.rows(150, seed=5), []):
+        documents = pd.DataFrame({"doc_id": pd.array([r[0] for r in data], "Int64"), "text": pd.array([r[1] for r in data], "string")})  # noqa: F841  (read by DuckDB)
+        result = duckdb.connect().execute(quality_rules.judge_sql())
+        names = [d[0] for d in result.description]
+        want = sorted(repr(tuple(None if v is pd.NA else v for v in r)) for r in result.fetchall())
+        judged = quality_rules.judge(fixtures.frame(spark, data)).collect()
+        assert sorted(repr(tuple(round(r[c], 6) if c == "posterior" else r[c] for c in names)) for r in judged) == want
