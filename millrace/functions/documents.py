@@ -98,7 +98,7 @@ def human_bytes(n: Column) -> Column:
     """``1.5000 KB`` and so on by powers of 1024 up to TB; null beyond."""
     power = F.floor(F.log2(F.greatest(n.cast("double"), F.lit(1.0))) / 10)
     units = F.array(*(F.lit(u) for u in ("bytes", "KB", "MB", "GB", "TB")))
-    return F.when(power <= 4, F.format_string("%.4f %s", n / F.pow(F.lit(1024.0), power), F.get(units, power.cast("int"))))
+    return F.when(power <= 4, F.format_string("%.4f %s", F.bround(n / F.pow(F.lit(1024.0), power), 4), F.get(units, power.cast("int"))))
 
 
 def days_to_seconds(seconds: Column) -> Column:

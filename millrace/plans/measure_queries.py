@@ -25,7 +25,7 @@ def design_summaries(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", text.token_count(F.col("text")).alias("n"))
     counts = docs.groupBy("source", "lang").agg(F.count("*").alias("k"), F.min("doc_id").alias("first"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("k"), "first"))).withColumn("t", F.sum("k").over(Window.partitionBy("source")))
-    listed = F.array_sort(F.collect_list(F.struct("r", F.format_string("%s %.1f", "lang", 100.0 * F.col("k") / F.col("t")).alias("s"))))
+    listed = F.array_sort(F.collect_list(F.struct("r", F.format_string("%s %.1f", "lang", F.bround(100.0 * F.col("k") / F.col("t"), 1)).alias("s"))))
     top = ranked.where("r <= 2").groupBy("source").agg(F.array_join(F.transform(listed, lambda x: x["s"]), ", ").alias("top"))
     own = docs.groupBy("source").agg(
         F.count("*").alias("n_records"), F.count_if(F.col("n") % 2 == 0).alias("sa0"), F.count_if(F.col("n") % 2 == 1).alias("sa1"), F.count_if(F.col("n") == 0).alias("n_zero"), F.count_if(F.col("n") >= 10).alias("n_ten"),
