@@ -89,22 +89,39 @@ def greedy_cover(df: DataFrame, group: str, order: str, item: str) -> DataFrame:
     """Patterns picked one by one for most new items (the lower order among equals) until all are covered: step, order.
 
     Each step needs the one before it, so it runs in one grouped function per group; memory is one group's distinct
-    (pattern, item) pairs, which are reduced before they are gathered.
+    (pattern, item) pairs as integers, reduced before they are gathered.  Null items and patterns count for nothing.
+
+    What patterns would add only falls.  So they are picked level by level from the largest gain down, each level in rising
+    order, and an item's patterns are told once, when it is covered: time follows the pairs, not steps times patterns.
     """
     kind = dict(df.dtypes)
 
     def cover(rows):
+        import numpy as np
         import pandas as pd
 
-        sets = {o: set(g) for o, g in rows.groupby(order)[item]}
-        left, out = set().union(*sets.values()), []
-        while left:
-            best = min(sets, key=lambda o: (-len(sets[o] & left), o))
-            left -= sets[best]
-            out.append((rows[group].iloc[0], len(out) + 1, best))
-        return pd.DataFrame(out, columns=[group, "step", order])
-
-    return df.select(group, order, item).distinct().groupBy(group).applyInPandas(cover, f"{group} {kind[group]}, step int, {order} {kind[order]}")
+        orders, at = np.unique(rows[order].to_numpy(), return_inverse=True)
+        of, items = pd.factorize(rows[item], use_na_sentinel=False)
+        by_pattern, by_item = np.argsort(at, kind="stable"), np.argsort(of, kind="stable")
+        gain, width = np.bincount(at), np.bincount(of)
+        ends, item_ends = np.cumsum(gain), np.cumsum(width)
+        starts, item_starts = (ends - gain).tolist(), (item_ends - width).tolist()
+        ends, item_ends = ends.tolist(), item_ends.tolist()
+        own, patterns = of[by_pattern], at[by_item]
+        covered, out = np.zeros(len(items), bool), []
+        while most := gain.max():
+            for p in np.flatnonzero(gain == most).tolist():
+                if gain[p] < most:
+                    continue
+                mine = own[starts[p] : ends[p]]
+                for i in mine[~covered[mine]].tolist():
+                    gain[patterns[item_starts[i] : item_ends[i]]] -= 1
+                covered[mine] = True
+                out.append(p)
+        return pd.DataFrame({group: rows[group].iloc[0], "step": np.arange(1, len(out) + 1), order: orders[out]}, columns=[group, "step", order])
+
+    pairs = df.select(group, order, item).where(F.col(order).isNotNull() & F.col(item).isNotNull()).distinct()
+    return pairs.groupBy(group).applyInPandas(cover, f"{group} {kind[group]}, step int, {order} {kind[order]}")
 
 
 def top_k(df: DataFrame, metric: str, k: int, config: str, ties: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 from millrace.functions import keys, numbers, text
@@ -48,6 +49,29 @@ def test_coverage(spark):
     assert [r["pattern"] for r in ranking.greedy_cover(df, "circuit", "pattern", "fault").collect()] == [3]
 
 
+def test_greedy_cover_of_many_patterns(spark):
+    # each step takes one of 20,000 patterns: trying all of them at every step takes minutes
+    pairs = spark.range(20_000).select(F.lit("c").alias("circuit"), (20_000 - F.col("id")).alias("pattern"), F.explode(F.array("id", F.lit(-1), F.lit(None).cast("long"))).alias("fault"))
+    start = time.monotonic()
+    rows = sorted((r["step"], r["pattern"]) for r in ranking.greedy_cover(pairs, "circuit", "pattern", "fault").collect())
+    assert rows == [(i, i) for i in range(1, 20_001)] and time.monotonic() - start < 60
+
+
+def test_greedy_cover_against_all_tries(spark):
+    rng = random.Random(5)
+    data = [(c, p, rng.choice("abcdefghijklmnopqrst") + str(c % 2)) for c in range(6) for p in range(30) for _ in range(rng.randint(1, 8))] + [(1, None, "z"), (2, 3, None)]
+    rows = ranking.greedy_cover(spark.createDataFrame(data, "circuit int, pattern int, fault string"), "circuit", "pattern", "fault").collect()
+    want = []
+    for c in range(6):
+        sets = {p: {f for d, q, f in data if (d, q) == (c, p) and f is not None} for p in range(30)}
+        left, step = set().union(*sets.values()), 0
+        while left:
+            step, best = step + 1, min(sets, key=lambda p: (-len(sets[p] & left), p))
+            left -= sets[best]
+            want.append((c, step, best))
+    assert sorted(tuple(r) for r in rows) == want
+
+
 def test_sample_of_repeated_records(spark):
     data = [(f"n{i}", f"sa{j} x", k) for k in range(2) for i in range(50) for j in range(2)]
     df = spark.createDataFrame(data, "netlist string, fault string, ord int")
