@@ -4,8 +4,9 @@ Counting: each partition counts its training tokens and token pairs; the counts
 space, and each segment is added up in one task.  Filter: a pair or token counted c times is entered under each level from
 1 to 1 + floor(log2 c), in the segment of its hash; levels are probed upwards until one is missing.  The filter's size
 follows the number of entries, and the number of segments follows the text, so the error rate and the memory of a segment are
-alike at every size.  A filter of up to ``max_filter_bytes`` is broadcast.  A larger one stays in a table: each chunk of text
-sends its distinct hashes to their segments, where they are probed, and gets the levels back; scores are the same.
+alike at every size.  A filter of up to ``max_filter_bytes`` is broadcast.  A larger one stays in a table: texts are dealt into
+chunks, a chunk sends its distinct hashes to groups of segments, where they are probed, and gets the levels back; scores are the
+same.  Blocks are chunks times groups, both of megabytes, so that a block holds thousands of hashes.
 
 Score: tokens are the words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z in lower case, then one end.  With the counts that
 probing gives, P(w | h) = (c(h, w) + m P(w)) / (max(c(h), c(h, w)) + m) and P(w) = (c(w) + 1) / (N + V + 1); h is the token
@@ -21,7 +22,6 @@ of an unseen token.  Only the id and text columns are read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -35,8 +35,12 @@ from pyspark.sql import functions as F
 from .common import drop_table, own_columns, remainder, stage_table, text_bytes
 
 #: Bytes of training text that a segment stands for, and most tasks that segments are dealt to.
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 4 << 20
 MOST_TASKS = 8192
+#: Beyond the broadcast: bytes of text that ask together, and of the filter that answer together.
+CHUNK_BYTES = 8 << 20
+GROUP_BYTES = 8 << 20
+PROBED_TOGETHER = 200_000
 BLOCK_BITS = 512
 PROBES = 5
 BITS_PER_ENTRY = 12
@@ -144,38 +148,50 @@ def packed(hashes: np.ndarray) -> bytes:
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+    data = np.frombuffer(data, np.uint8)
     out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
-    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    out[:, :KEY_BYTES] = data.reshape(-1, KEY_BYTES)
     return out.view("<u8").ravel().astype(_U, copy=False)
 
 
+def _cut(data: bytes, bounds: np.ndarray) -> pa.Array:
+    """``data`` as binary values, one from each bound to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _joined(values: pa.Array) -> bytes:
+    return b"".join(v for v in values.to_pylist() if v)
+
+
 COUNTS = "segment int, hashes binary, counts binary, tokens binary, token_counts binary"
 
 
 def _count_partitions(segments: int):
     names = [x.split()[0] for x in COUNTS.split(", ")]
 
-    def row(segment: int, *values: bytes | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], names)
-
-    def by_segment(hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def by_segment(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segments that have some, order by segment, where each of them begins and the last ends)."""
         where = segment_of(hashes, segments)
         order = np.argsort(where, kind="stable")
         bounds = np.searchsorted(where[order], np.arange(segments + 1))
-        for s in np.flatnonzero(np.diff(bounds)):
-            yield int(s), order[bounds[s] : bounds[s + 1]]
+        seen = np.flatnonzero(np.diff(bounds))
+        return seen, order, np.concatenate([[0], bounds[seen + 1]])
+
+    def block(seen: np.ndarray, *values: pa.Array | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.nulls(len(seen), pa.binary()) if v is None else v for v in values)], names)
 
     def pair_blocks(hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s, own in by_segment(hashes):
-            yield row(s, packed(hashes[own]), counts[own].astype(np.uint32).tobytes(), None, None)
+        seen, order, at = by_segment(hashes)
+        yield block(seen, _cut(packed(hashes[order]), at * KEY_BYTES), _cut(counts[order].astype(np.uint32).tobytes(), at * 4), None, None)
 
     def token_blocks(numbering: Tokens, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        seen = np.flatnonzero(counts)
+        used = np.flatnonzero(counts)
         spelled = list(numbering.index)
-        for s, own in by_segment(mix(numbering.hashes[seen])):
-            at = seen[own]
-            yield row(s, None, None, b" ".join([spelled[i] for i in at.tolist()]), counts[at].tobytes())
+        seen, order, at = by_segment(mix(numbering.hashes[used]))
+        own = used[order]
+        words = [spelled[i] for i in own.tolist()]
+        yield block(seen, None, None, pa.array([b" ".join(words[a:b]) for a, b in zip(at, at[1:])], pa.binary()), _cut(counts[own].tobytes(), at * 8))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbering, tokens = Tokens(), np.zeros(1, np.int64)
@@ -195,12 +211,14 @@ def _count_partitions(segments: int):
                 waiting.append(numbering.pairs(numbers, ends)[1])
                 n += len(waiting[-1])
                 if n >= WAITING_PAIRS:
-                    merged = [_added([*merged, _counted(waiting)])]
+                    fresh = _counted(waiting)
+                    merged = [_added([*merged, fresh]) if merged else fresh]
                     waiting, n = [], 0
                     if len(merged[0][0]) >= FLUSH_PAIRS:
                         yield from pair_blocks(*merged.pop())
         if waiting:
-            merged = [_added([*merged, _counted(waiting)])]
+            fresh = _counted(waiting)
+            merged = [_added([*merged, fresh]) if merged else fresh]
         if merged:
             yield from pair_blocks(*merged[0])
         yield from token_blocks(numbering, tokens)
@@ -217,9 +235,7 @@ def _counted(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of equal hashes added up."""
-    if len(parts) == 1:
-        return parts[0]
+    """Counts of equal hashes added up, also those of one part."""
     hashes, counts = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(hashes, kind="stable")
     hashes, counts = hashes[order], counts[order]
@@ -227,6 +243,15 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _runs(batch: pa.RecordBatch, key: str) -> Iterator[tuple[int | None, pa.RecordBatch]]:
+    """Slices of rows that follow one another with an equal key."""
+    keys = batch.column(key).to_pylist()
+    cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield keys[a], batch.slice(a, b - a)
+
+
 MERGED = "segment int, hashes binary, levels binary, n_entries bigint, tokens array<binary>, token_counts array<bigint>"
 
 
@@ -251,21 +276,23 @@ def _merge_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         ]
         return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in MERGED.split(", ")])
 
-    now, pairs, tokens = None, [], {}
+    now, pairs, tokens, n = None, [], {}, 0
     for batch in batches:
-        for row in range(batch.num_rows):
-            segment, hashes, counts, names, totals = (batch.column(c)[row].as_py() for c in range(5))
+        for segment, part in _runs(batch, "segment"):
             if segment != now:
                 if now is not None:
                     yield result(now, pairs, tokens)
-                now, pairs, tokens = segment, [], {}
-            if hashes:
-                pairs.append((unpacked(hashes), np.frombuffer(counts, np.uint32).astype(np.int64)))
-                if len(pairs) >= 64:
-                    pairs = [_added(pairs)]
-            if totals:
-                for t, n in zip(names.split(b" "), np.frombuffer(totals, np.int64).tolist()):
-                    tokens[t] = tokens.get(t, 0) + n
+                now, pairs, tokens, n = segment, [], {}, 0
+            hashes = unpacked(_joined(part.column("hashes")))
+            if len(hashes):
+                pairs.append((hashes, np.frombuffer(_joined(part.column("counts")), np.uint32).astype(np.int64)))
+                n += len(hashes)
+                if n >= WAITING_PAIRS:
+                    pairs, n = [_added(pairs)], 0
+            for names, totals in zip(part.column("tokens").to_pylist(), part.column("token_counts").to_pylist()):
+                if totals:
+                    for t, k in zip(names.split(b" "), np.frombuffer(totals, np.int64).tolist()):
+                        tokens[t] = tokens.get(t, 0) + k
     if now is not None:
         yield result(now, pairs, tokens)
 
@@ -391,16 +418,30 @@ class Scorer:
     def forget(self) -> None:
         """Numbers tokens anew."""
         self.numbering.reset()
+        self.spelled: list[bytes] = []
         self.unigrams, self.known, self.sums = np.zeros(0), np.zeros(0, bool), np.zeros(0)
 
     def score(self, part: pa.RecordBatch, levels: Levels) -> pa.RecordBatch:
         """One row per document of ``part`` (id, held_out, text): id, held_out and SCORED."""
-        texts, numbering = text_bytes(part.column("text")), self.numbering
-        if numbering.full():
+        if self.numbering.full():
             self.forget()
-        words, numbers, ends = numbering.number(texts)
+        return self.rate(part, *self.numbering.number(text_bytes(part.column("text")))[1:], levels)
+
+    def score_all(self, parts: list[pa.RecordBatch], levels: Levels) -> Iterator[pa.RecordBatch]:
+        """``score`` of each part, with one call of ``levels`` for all: each token's hash, then the pairs'."""
+        self.forget()
+        read = [self.numbering.number(text_bytes(p.column("text")))[1:] for p in parts]
+        pairs = [self.numbering.pairs(*r)[1] for r in read]
+        found = levels(np.concatenate([mix(self.numbering.hashes), *pairs]))
+        given = iter(np.split(found, np.cumsum([len(self.numbering.hashes), *map(len, pairs)])[:-1]))
+        for part, (numbers, ends) in zip(parts, read):
+            yield self.rate(part, numbers, ends, lambda _: next(given))
+
+    def rate(self, part: pa.RecordBatch, numbers: np.ndarray, ends: np.ndarray, levels: Levels) -> pa.RecordBatch:
+        texts, numbering = text_bytes(part.column("text")), self.numbering
         if len(self.unigrams) < len(numbering.hashes):
             fresh = list(islice(numbering.index, len(self.unigrams), None))
+            self.spelled += fresh
             exact = np.array([self.frequent.get(w, 0) for w in fresh], np.float64)
             own = LEVEL_COUNTS[levels(mix(numbering.hashes[len(self.unigrams) :]))]
             self.unigrams = np.concatenate([self.unigrams, own])
@@ -420,7 +461,7 @@ class Scorer:
         width = len(numbering.hashes) + 1
         codes, first, times = np.unique(owner * width + numbers[rare_at], return_index=True, return_counts=True)
         lists = pa.array(np.searchsorted(codes // width, np.arange(len(texts) + 1)).astype(np.int32))
-        spelled = pa.array([words[i] for i in rare_at[first].tolist()], pa.binary())
+        spelled = pa.array([self.spelled[i] for i in numbers[rare_at[first]].tolist()], pa.binary())
         columns = [
             part.column("id"),
             part.column("held_out"),
@@ -459,81 +500,106 @@ def _scored_by_broadcast(source: DataFrame, model: Model, smoothing: float, sche
     return rows
 
 
-def _scored_by_segment(source: DataFrame, model: Model, smoothing: float, schema: str) -> DataFrame:
-    """Chunks of about a megabyte send their distinct hashes to the segments of the filter and get levels back."""
-    numbers = (model.train_tokens, model.distinct, model.starts, smoothing)
-    segments, blocks = model.segments, model.blocks
-    names = ["chunk", "segment", "data"]
+def _by_segment(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of rising hashes by segment and hash, where each segment begins and the last ends)."""
+    where = segment_of(hashes, segments)
+    order = np.argsort(where, kind="stable")
+    return order, np.searchsorted(where[order], np.arange(segments + 1))
 
-    def by_segment(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes by (segment, hash), and their segments."""
-        distinct = np.unique(hashes)
-        where = segment_of(distinct, segments)
-        order = np.argsort(where, kind="stable")
-        return distinct[order], where[order]
 
-    def needed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        own = Tokens()
-        _, at, ends = own.number(texts)
-        return by_segment(np.concatenate([own.pairs(at, ends)[1], mix(own.hashes)]))
+def _scored_by_segment(source: DataFrame, model: Model, smoothing: float, schema: str) -> DataFrame:
+    """Chunks of texts send their distinct hashes to groups of the filter's segments and get levels back.
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Both sides derive a chunk's hashes from its rows, in whatever order these come; the texts are dealt out once.
+    """
+    numbers = (model.train_tokens, model.distinct, model.starts, smoothing)
+    segments, blocks = model.segments, model.blocks
+    width = blocks * BLOCK_BITS // 8
+    per_group = max(1, min(GROUP_BYTES // width, -(-segments // 32)))
+    groups = -(-segments // per_group)
+    n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, n_bytes // CHUNK_BYTES)
+    block = "chunk bigint, part int, segment int, data binary"
+    names = [x.split()[0] for x in block.split(", ")]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks_of(chunk: int, tokens: Tokens, hashes: list[np.ndarray]) -> pa.RecordBatch:
+            distinct = np.unique(np.concatenate([*hashes, mix(tokens.hashes)]))
+            order, bounds = _by_segment(distinct, segments)
+            sent, sizes = packed(distinct[order]), np.diff(bounds).astype(np.uint32)
+            cuts = [*range(0, segments, per_group), segments]
+            # of each group: how many hashes each of its segments gets, then the hashes
+            data = [sizes[a:b].tobytes() + sent[bounds[a] * KEY_BYTES : bounds[b] * KEY_BYTES] for a, b in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * groups, pa.int64()), pa.array(range(groups), pa.int32()), pa.nulls(groups, pa.int32()), pa.array(data, pa.binary())], names)
+
+        now, tokens, hashes = None, Tokens(), []
         for batch in batches:
-            for part in _parts(batch):
-                chunk = uuid.uuid4().hex
-                hashes, where = needed(text_bytes(part.column("text")))
-                at, first = np.unique(where, return_index=True)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as out:
-                    out.write_batch(part)
-                data = [sink.getvalue().to_pybytes(), *map(packed, np.split(hashes, first[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(data)), pa.array([-1, *at.tolist()], pa.int32()), pa.array(data, pa.binary())], names)
+            for chunk, rows in _runs(batch, "chunk"):
+                if chunk != now:
+                    if hashes:
+                        yield blocks_of(now, tokens, hashes)
+                    now, hashes = chunk, []
+                    tokens.reset()
+                for part in _groups(rows.column("text")):
+                    _, at, ends = tokens.number(text_bytes(part))
+                    hashes.append(np.unique(tokens.pairs(at, ends)[1]))
+        if hashes:
+            yield blocks_of(now, tokens, hashes)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, filter = None, None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                chunk, segment, data = (batch.column(c)[row].as_py() for c in range(3))
-                if chunk is None:
-                    now, filter = segment, Filter(np.frombuffer(data, np.uint8), blocks, 1)
-                else:
-                    hashes = unpacked(data)
-                    levels = filter.levels(hashes, np.zeros(len(hashes), np.int64)) if segment == now else np.zeros(len(hashes), np.int64)
-                    yield pa.RecordBatch.from_pydict({"chunk": [chunk], "segment": pa.array([segment], pa.int32()), "data": [levels.astype(np.uint8).tobytes()]})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
+        def answer(part: int, asked: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            own, hashes, where = zip(*asked)
+            levels = filter.levels(np.concatenate(hashes), np.concatenate(where)).astype(np.uint8).tobytes()
+            data = _cut(levels, np.cumsum([0, *map(len, hashes)]))
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([part] * len(own), pa.int32()), pa.nulls(len(own), pa.int32()), data], names)
 
-        def finish(part: pa.RecordBatch, found: list[bytes]) -> pa.RecordBatch:
-            hashes, _ = needed(text_bytes(part.column("text")))
-            levels = np.frombuffer(b"".join(found), np.uint8).astype(np.int64)
-            order = np.argsort(hashes)
-            rising, levels = hashes[order], levels[order]
-            return Scorer(frequent, *numbers).score(part, lambda wanted: levels[np.searchsorted(rising, wanted)])
-
-        part, found = None, []
+        now, filter = None, None
         for batch in batches:
-            for row in range(batch.num_rows):
-                segment, data = batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
-                if segment < 0:
-                    if part is not None:
-                        yield finish(part, found)
-                    part, found = pa.ipc.open_stream(data).read_next_batch(), []
-                else:
-                    found.append(data)
-        if part is not None:
-            yield finish(part, found)
-
-    block = "chunk string, segment int, data binary"
-    cut = stage_table(source.mapInArrow(chunks, block), "chunks")
+            for part, rows in _runs(batch, "part"):
+                first = part * per_group
+                here = min(per_group, segments - first)
+                if part != now:
+                    now, filter = part, Filter(np.zeros(here * width, np.uint8), blocks, here)
+                asked, n = [], 0
+                for chunk, segment, data in zip(rows.column("chunk").to_pylist(), rows.column("segment").to_pylist(), rows.column("data")):
+                    if chunk is None:
+                        filter.bits[(segment - first) * width : (segment - first + 1) * width] = np.frombuffer(data.as_buffer(), np.uint8)
+                        continue
+                    sizes = np.frombuffer(data.as_buffer(), np.uint32, here)
+                    asked.append((chunk, unpacked(data.as_buffer()[4 * here :]), np.repeat(np.arange(here), sizes)))
+                    n += len(asked[-1][1])
+                    if n >= PROBED_TOGETHER:
+                        yield answer(part, asked)
+                        asked, n = [], 0
+                if asked:
+                    yield answer(part, asked)
+
+    def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
+        answered = np.frombuffer(_joined(found.sort_by("part").column("data")), np.uint8)
+
+        def levels(hashes: np.ndarray) -> np.ndarray:
+            distinct, inverse = np.unique(hashes, return_inverse=True)
+            if len(distinct) != len(answered):
+                raise RuntimeError("the rows of a chunk have changed between two reads of the input")
+            rising = np.empty(len(distinct), np.int64)
+            rising[_by_segment(distinct, segments)[0]] = answered
+            return rising[inverse]
+
+        parts = [p for b in rows.select(["id", "held_out", "text"]).to_batches() for p in _parts(b)]
+        return pa.Table.from_batches(Scorer(shared.value, *numbers).score_all(parts, levels))
+
+    tasks = min(chunks, MOST_TASKS)
+    # copies of a row go apart by the partition they come from
+    chunk = F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(chunks)).alias("chunk")
+    dealt = source.select(chunk, "id", "held_out", "text").repartition(tasks, "chunk")
     shared = source.sparkSession.sparkContext.broadcast(model.frequent)
-    # a filter segment has no chunk, and so comes before the blocks that probe it
-    wanted = model.bits.select(F.lit(None).cast("string").alias("chunk"), "segment", F.col("bits").alias("data")).union(cut.where("segment >= 0"))
-    found = wanted.repartition(min(segments, MOST_TASKS), "segment").sortWithinPartitions("segment", F.asc_nulls_first("chunk")).mapInArrow(probe, block)
-    back = cut.where("segment < 0").union(found).repartition("chunk").sortWithinPartitions("chunk", "segment")
-    rows = stage_table(back.mapInArrow(run, schema), "scored")
+    asked = dealt.sortWithinPartitions("chunk").mapInArrow(ask, block)
+    bits = model.bits.select(F.lit(None).cast("long").alias("chunk"), F.floor(F.col("segment") / per_group).cast("int").alias("part"), "segment", F.col("bits").alias("data"))
+    # bits have no chunk, and so come before the blocks that probe them
+    met = bits.union(asked).repartition(min(groups, MOST_TASKS), "part").sortWithinPartitions("part", F.asc_nulls_first("chunk")).mapInArrow(probe, block)
+    answers = met.select("chunk", "part", "data").repartition(tasks, "chunk")
+    rows = stage_table(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema), "scored")
     shared.destroy()
-    drop_table(cut)
     return rows
 
 

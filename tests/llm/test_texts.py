@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,6 +98,32 @@ def test_lm_probes_by_segment_as_it_does_by_broadcast(spark):
     assert language_model.score_held_out(fixtures.frame(spark, []), max_filter_bytes=-1).count() == 0
 
 
+def test_lm_counts_travel_in_few_batches():
+    """A batch for each segment of each flush would grow with the square of the text."""
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i % 4000}" for i in range(5000))])], ["text"])
+    out = list(language_model._count_partitions(500)(iter([batch])))
+    assert len(out) == 2
+    rows = pa.Table.from_batches(out * 3).sort_by("segment").combine_chunks().to_batches()
+    merged = list(language_model._merge_segments(iter(rows)))
+    counts = {t: n for b in merged for t, n in zip(b.column("tokens")[0].as_py(), b.column("token_counts")[0].as_py())}
+    assert counts == {b"": 3} | {f"w{i}".encode(): 6 if i < 1000 else 3 for i in range(4000)}
+    # pairs: 4,000 within a round, the start, the end, one from round to round
+    sizes = [len(b.column("hashes")[0].as_py()) // language_model.KEY_BYTES for b in merged]
+    assert sum(sizes) == len(counts) + 4002
+
+
+def test_lm_many_chunks_and_groups(spark, monkeypatch):
+    """Chunks of 2 KB and groups of one segment give the scores of the broadcast, copies of a row included."""
+    data = fixtures.rows(120, seed=6)
+    frame = fixtures.frame(spark, data + data[:3] * 40).repartition(5)
+    shown = lambda rows: sorted(repr((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6))) for r in rows)
+    want = shown(language_model.score_held_out(frame, segments=50).collect())
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(language_model, "GROUP_BYTES", 1)
+    monkeypatch.setattr(language_model, "MOST_TASKS", 6)
+    assert shown(language_model.score_held_out(frame, segments=50, max_filter_bytes=0).collect()) == want
+
+
 def test_lm_empty(spark):
     assert language_model.score_held_out(fixtures.frame(spark, [])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
